@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import standard_tokens
-from lexmill.llm import distinct, history, near, terms, together
+from lexmill.llm import distinct, encode, history, near, terms, together
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +100,19 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 
+#: Folder of the public vocabulary files; only the driver reads it.
+TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode.encode_column(_documents(spark, d), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -108,6 +123,7 @@ QUERIES = {
     "p5_ppmi": p5_ppmi,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_ids": p7_ids,
 }
 
 _W = r"[\p{L}\p{Nd}_]+"
