@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import standard_tokens
-from lexmill.llm import distinct, encode, history, near, terms, together
+from lexmill.llm import distinct, encode, history, leak, near, personal, terms, together
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -113,6 +113,32 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_column(_documents(spark, d), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items of which they hold at least 10 words in a row."""
+    sam = leak.build(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text")
+    return leak.leaks(_documents(spark, d), "doc_id", "text", sam).select("doc_id", "item_id")
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without its leaked spans; null where most of it is leaked."""
+    sam = leak.build(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text")
+    return leak.cleaned(_documents(spark, d), "doc_id", "text", sam)
+
+
+def _names_model(spark: SparkSession, d: str) -> personal.NameModel:
+    return personal.fit_model(_documents(spark, d), "doc_id", "text", spark.read.parquet(f"{d}/known_names.parquet"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data of every document: kind, and value as it stands in the text."""
+    return personal.values(_documents(spark, d), "doc_id", "text", _names_model(spark, d))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders in the place of personal data."""
+    return personal.redacted(_documents(spark, d), "doc_id", "text", _names_model(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -124,6 +150,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_clean": p8_clean,
+    "p9_found": p9_found,
+    "p9_redacted": p9_redacted,
 }
 
 _W = r"[\p{L}\p{Nd}_]+"
