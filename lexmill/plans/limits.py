@@ -58,14 +58,14 @@ class ExecutionContext:
 
     def run(self, spark: SparkSession, action: Callable[[], R]) -> R:
         """An action whose Spark jobs are cancelled when the time is up."""
-        tag = f"lexmill-{uuid.uuid4().hex}"
+        tag, context = f"lexmill-{uuid.uuid4().hex}", spark.sparkContext
 
         def stop() -> None:
             self.timed_out = True
-            spark.interruptTag(tag)
+            context.cancelJobsWithTag(tag)
 
         timer = threading.Timer(self.left, stop)
-        spark.addTag(tag)
+        context.addJobTag(tag)
         timer.start()
         try:
             return action()
@@ -75,4 +75,4 @@ class ExecutionContext:
             raise
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            context.removeJobTag(tag)

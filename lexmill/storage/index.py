@@ -56,9 +56,10 @@ class Index:
         fs = Fs(spark, root)
         if fs.exists(mf.SCHEMA):
             raise FileExistsError(f"there is an index in {root}")
+        text = schema.validate().created().to_json()
         for name in (mf.MANIFESTS, mf.SEGMENTS, mf.TMP):
             fs.make(name)
-        fs.write(mf.SCHEMA, schema.validate().created().to_json().encode())
+        fs.write(mf.SCHEMA, text.encode())
         return Index(spark, root, **options)
 
     # --- writing ---------------------------------------------------------------------------
