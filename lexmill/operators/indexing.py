@@ -141,8 +141,11 @@ def with_doc_ids(docs: DataFrame, by: str = "id", start: int = 0) -> DataFrame:
 
 
 def clustered(postings: DataFrame) -> DataFrame:
-    """Postings in the order of the dictionary, so files and row groups hold narrow term ranges."""
-    return postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+    """Postings in the order of the dictionary, so files and row groups hold narrow term ranges.
+
+    The document is part of the range, so a term that stands in every document is cut into pieces.
+    """
+    return postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
 
 
 def refuse_long_terms(postings: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ class IndexView:
         """
         postings = indexing.build_postings(docs, schema, registry=registry)
         if keep:
-            postings = materialise(indexing.clustered(postings), "postings")
+            # written as they come first: the range partitioning samples its input, which should not be analyzed twice
+            postings = materialise(indexing.clustered(materialise(postings, "unordered")), "postings")
         terms = indexing.dictionary(postings)
         lengths = indexing.doc_lengths(docs, schema, registry=registry)
         if keep:

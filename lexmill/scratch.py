@@ -53,3 +53,13 @@ def release(spark: SparkSession) -> int:
         p = jvm.org.apache.hadoop.fs.Path(path).getParent()
         n += bool(p.getFileSystem(conf).delete(p, True))
     return n
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table, dealt out again where it has fewer splits than the cluster has cores.
+
+    Only for frames that come straight from files (no shuffle runs to count the splits).  A
+    large table has more splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

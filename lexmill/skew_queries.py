@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.operators.eager import eager_join_aggregate
+from lexmill.scratch import spread
 
 HEAVY_SHARE = 0.02
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     """Per term: entries, sum of count, and the documents of the segments that hold the entries."""
-    entries = spark.read.parquet(f"{d}/term_entry.parquet").withColumn("t", F.lower(F.trim("term"))).where(F.col("t") != "")
+    entries = spread(spark.read.parquet(f"{d}/term_entry.parquet")).withColumn("t", F.lower(F.trim("term"))).where(F.col("t") != "")
     segments = spark.read.parquet(f"{d}/segment_meta.parquet")
     return eager_join_aggregate(
         entries,

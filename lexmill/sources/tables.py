@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.plans.view import IndexView
 from lexmill.schema import Schema, keyword_field, stored_field, text_field
+from lexmill.scratch import spread
 
 DOCUMENTS = Schema((text_field("text", stored=False), keyword_field("lang"), keyword_field("source"), stored_field("n_chars")), "standard").validate()
 CORPUS = Schema((text_field("title"), text_field("body", stored=False), keyword_field("tags", multi_valued=True), stored_field("metadata")), "standard").validate()
@@ -15,12 +16,12 @@ _views: dict[tuple[str, str, str], IndexView] = {}
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """documents with doc_id as the internal and its text as the external id."""
-    return spark.read.parquet(f"{d}/documents.parquet").withColumn("id", F.col("doc_id").cast("string"))
+    return spread(spark.read.parquet(f"{d}/documents.parquet")).withColumn("id", F.col("doc_id").cast("string"))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     """small_corpus with row_no as the internal id."""
-    return spark.read.parquet(f"{d}/small_corpus.parquet").withColumn("doc_id", F.col("row_no"))
+    return spread(spark.read.parquet(f"{d}/small_corpus.parquet")).withColumn("doc_id", F.col("row_no"))
 
 
 def view(spark: SparkSession, d: str, table: str = "documents") -> IndexView:

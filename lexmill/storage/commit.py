@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from lexmill.operators.indexing import POSTINGS
+from lexmill.operators.indexing import POSTINGS, clustered
 from lexmill.storage import manifest as mf
 from lexmill.storage.fs import Fs
 from lexmill.storage.manifest import Manifest, Segment
@@ -64,8 +64,15 @@ def _write(fs: Fs, home: str, tables: SegmentTables) -> None:
         reader = fs.spark.read.schema(POSTINGS) if name == "postings" else fs.spark.read
         return reader.parquet(fs.full(f"{home}/{name}"))
 
+    def postings() -> None:
+        # as they come first: the range partitioning samples its input, which should not be analyzed twice
+        put("unordered", tables.postings)
+        put("postings", clustered(fs.spark.read.schema(POSTINGS).parquet(fs.full(f"{home}/unordered"))))
+        fs.delete(f"{home}/unordered")
+
     with ThreadPoolExecutor(4) as pool:
-        for job in [pool.submit(put, n, getattr(tables, n)) for n in ("postings", "docs", "lengths", "tombstones")]:
+        jobs = [pool.submit(postings), *(pool.submit(put, n, getattr(tables, n)) for n in ("docs", "lengths", "tombstones"))]
+        for job in jobs:
             job.result()
     for name in ("terms", "stats"):
         put(name, getattr(tables, name)(read))

@@ -123,7 +123,7 @@ class Index:
     @staticmethod
     def _segment(docs: DataFrame, postings: DataFrame, lengths: DataFrame, stones: DataFrame) -> cm.SegmentTables:
         return cm.SegmentTables(
-            docs, indexing.clustered(postings), lengths, stones,
+            docs, postings, lengths, stones,
             lambda read: indexing.dictionary(read("postings")).repartitionByRange("field", "term").sortWithinPartitions("field", "term"),
             lambda read: indexing.field_stats(read("terms"), read("lengths")).coalesce(1),
         )
