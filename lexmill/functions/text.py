@@ -29,7 +29,7 @@ def standard_tokens(c: Column) -> Column:
     (a blank is never part of a term).
     """
     raw = F.regexp_extract_all(c, F.lit(STANDARD), F.lit(0))
-    return F.filter(F.split(lower_simple(F.array_join(raw, " ")), " "), lambda t: t != "")
+    return F.array_remove(F.split(lower_simple(F.array_join(raw, " ")), " "), "")
 
 
 def whitespace_tokens(c: Column) -> Column:

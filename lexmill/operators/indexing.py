@@ -31,7 +31,7 @@ def field_postings(docs: DataFrame, doc_id: str, field: str, terms: Column, posi
     """
     pair = F.transform("t", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), terms.alias("t")).where(F.size("t") > 0)
-    rows = rows.select("doc_id", F.array_sort(pair).alias("s"))
+    rows = rows.select("doc_id", F.sort_array(pair).alias("s"))
     last = F.filter(F.sequence(F.lit(1), F.size("s")), lambda i: (i == F.size("s")) | (F.element_at("s", i)["term"] != F.get("s", i)["term"]))
     rows = rows.select("doc_id", "s", last.alias("e"))
 
