@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import standard_tokens
 from lexmill.llm import distinct, encode, history, leak, near, personal, terms, together
+from lexmill.scratch import spread
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/small_corpus.parquet")
+    return spread(spark.read.parquet(f"{d}/small_corpus.parquet"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +41,7 @@ def _body_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def _taken(spark: SparkSession, d: str) -> DataFrame:
     """Rows of term_entry that count: term trimmed and in lower case, repeated dumps taken once."""
-    e = spark.read.parquet(f"{d}/term_entry.parquet").select("segment_id", "field", F.lower(F.trim("term")).alias("term"), "count")
+    e = spread(spark.read.parquet(f"{d}/term_entry.parquet")).select("segment_id", "field", F.lower(F.trim("term")).alias("term"), "count")
     return e.where("term <> '' and count >= 1").distinct()
 
 
@@ -105,7 +106,7 @@ TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
