@@ -113,13 +113,12 @@ class FingerprintStore:
         ``near.MIN_WORDS`` distinct words match by id only; an empty batch gives no rows.
         """
         ids = batch.select("pos", id_key(F.col("id")).alias("key")).where("key <> ''")
-        own_ids = self._add("ids", ids.groupBy("key").agg(F.min("pos").alias("first")))
+        own_ids = self._add("ids", ids.select("key").distinct())
         sets = materialise(near.word_sets(batch, "pos", "title", "body"), "sets")
-        stored = self._all("records", sets.select("row", "n", "hs", "key"))
-        firsts = sets.groupBy("key").agg(F.min("row").alias("first")).join(stored.select("key"), "key", "left_anti")
-        fresh = sets.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-        keys = fresh.select("row", "key")
-        records = self._add("records", near.with_pivots(fresh).join(keys, "row"))
+        stored = self._all("records", sets)
+        # a set is new if no stored record and no earlier row of the batch has it
+        again = materialise(self._seen(sets.select(F.col("row").alias("pos"), *near.KEY), stored.select(*near.KEY), near.KEY), "again")
+        records = self._add("records", sets.join(again, sets["row"] == again["pos"], "left_anti"))
         bands = self._add("bands", near.bands(records))
         like = self.spark.createDataFrame([], "part int, bits binary")
         distinct = bands.groupBy("k").agg((F.count(F.lit(1)) > 1).alias("twice")).withColumn("part", F.pmod("k", F.lit(self.parts)).cast("int"))
@@ -129,9 +128,8 @@ class FingerprintStore:
         self._add("blooms", screened.where("bits is not null").select("part", "bits"))
         found = None
         if check:
-            by_id = self._seen(ids, self._all("ids", own_ids).select("key"), own_ids)
-            by_set = self._seen(sets.select(F.col("row").alias("pos"), "key"), stored.select("key"), sets.groupBy("key").agg(F.min("row").alias("first")))
-            known = materialise(by_id.unionByName(by_set).distinct(), "known")
+            by_id = self._seen(ids, self._all("ids", own_ids), ["key"])
+            known = materialise(by_id.unionByName(again).distinct(), "known")
             look = screened.where("k is not null").select("k")
             meet = bands.unionByName(self._all("bands", bands)).join(look, "k", "left_semi")
             pairs = near.block_pairs(meet, self.parts, since).join(known.select(F.col("pos").alias("b")), "b", "left_anti")
@@ -142,10 +140,15 @@ class FingerprintStore:
         return found
 
     @staticmethod
-    def _seen(rows: DataFrame, stored: DataFrame, firsts: DataFrame) -> DataFrame:
-        """Positions of rows (pos, key) whose key is stored or stands earlier in the batch."""
-        before = firsts.join(stored.distinct().withColumn("old", F.lit(True)), "key", "left")
-        return rows.join(before, "key").where("old or pos > first").select("pos")
+    def _seen(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+        """Positions of rows (pos, keys) whose key is stored or stands earlier in the batch.
+
+        Keys are aggregated first, so a key that fills the batch leaves a task as one row; most
+        keys stand once and, unless stored, go no further.
+        """
+        first = rows.groupBy(*keys).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c"))
+        before = first.join(stored.distinct().withColumn("old", F.lit(True)), keys, "left").where("old or c > 1")
+        return rows.join(before, keys).where("old or pos > first").select("pos")
 
 
 def repeated_rows(corpus: DataFrame, arrivals: int = 2) -> DataFrame:

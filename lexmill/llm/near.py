@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions.text import record_words
@@ -45,11 +46,46 @@ _XOR = _rng.integers(0, 1 << 32, size=(BANDS, ROWS), dtype=np.uint64).astype(np.
 _MIX = (_rng.integers(0, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+KEY = ["key", "key2"]
+_P = [f"p{i}" for i in range(PIVOTS // 8)]
+
+
 def word_sets(df: DataFrame, row: str, *columns: str) -> DataFrame:
-    """(row, n, key, hs): distinct words as sorted 64-bit hashes; records under ``MIN_WORDS`` are left out."""
-    words = F.array_sort(F.array_distinct(record_words(*columns)))
-    s = df.select(F.col(row).alias("row"), words.alias("w")).where(F.size("w") >= MIN_WORDS)
-    return s.select("row", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("key"), F.transform("w", lambda w: F.xxhash64(w)).alias("hs"))
+    """(row, n, key, key2, hs, p0, p1, ...): distinct words of every record with at least ``MIN_WORDS``.
+
+    ``hs`` are their 64-bit hashes, ``key`` and ``key2`` a 128-bit hash of the set, the rest is
+    the pivot table.  Words are hashed once per Arrow batch, not once per record.
+    """
+    tokens = df.select(F.col(row).cast("bigint").alias("row"), record_words(*columns).alias("w")).where(F.size("w") >= MIN_WORDS)
+    return tokens.mapInArrow(_sets, "row bigint, n int, key bigint, key2 bigint, hs array<bigint>, " + ", ".join(f"{c} bigint" for c in _P))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        col = b.column(1)
+        lens = np.diff(col.offsets.to_numpy())
+        enc = col.flatten().dictionary_encode()
+        size = len(enc.dictionary)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint64, size)
+        pairs = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * size + enc.indices.to_numpy())
+        n = np.bincount(pairs // size, minlength=len(lens)).astype(np.int32)
+        keep = n >= MIN_WORDS
+        hs = hashes[pairs % size][np.repeat(keep, n)]
+        n = n[keep]
+        if not len(n):
+            continue
+        ends = np.cumsum(n)
+        starts = ends - n
+        k1 = np.add.reduceat((hs ^ (hs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) ^ hs, starts)
+        k2 = np.add.reduceat((hs ^ (hs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (hs << np.uint64(7)), starts)
+        d = pivot_table(hs, starts, n)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(hs.view(np.int64)))
+        rows = b.column(0).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(
+            [rows, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, *(pa.array(d[:, i]) for i in range(len(_P)))], names=["row", "n", *KEY, "hs", *_P]
+        )
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +117,8 @@ def band_keys(hs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def with_pivots(sets: DataFrame) -> DataFrame:
-    """Adds the pivot table (p0, p1, ...) to rows (row, n, hs, ...)."""
-    p = [f"p{i}" for i in range(PIVOTS // 8)]
-    schema = sets.select("row", "n", "hs").schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                flat, starts = _lists(b, "hs")
-                d = pivot_table(flat, starts, b.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(d[:, i]) for i in range(len(p)))], names=["row", "n", "hs", *p])
-
-    ddl = f"row {schema['row'].dataType.simpleString()}, n int, hs array<bigint>, " + ", ".join(f"{c} bigint" for c in p)
-    return sets.select("row", "n", "hs").mapInArrow(run, ddl)
-
-
 def bands(sets: DataFrame) -> DataFrame:
     """(k, row): every record under each of its band keys."""
-    row_type = sets.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +129,7 @@ def bands(sets: DataFrame) -> DataFrame:
                 rows = np.repeat(part.column(0).to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rows)], names=["k", "row"])
 
-    return sets.select("row", "hs").mapInArrow(run, f"k bigint, row {row_type}")
+    return sets.select("row", "hs").mapInArrow(run, "k bigint, row bigint")
 
 
 def _pairs_of_runs(k: np.ndarray, rows: np.ndarray, cap: int, since: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,12 +203,11 @@ def verified(candidates: DataFrame, left: DataFrame, right: DataFrame, t: float
 
     First sizes and pivot tables (40 bytes a record) discard, then the survivors' hashes are met.
     """
-    p = [f"p{i}" for i in range(PIVOTS // 8)]
-    la = left.select(F.col("row").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in p))
-    rb = right.select(F.col("row").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in p))
+    la = left.select(F.col("row").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _P))
+    rb = right.select(F.col("row").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _P))
     limit = F.floor((F.col("na") + F.col("nb")) * F.lit((1 - t) / (1 + t)) + F.lit(1e-9))
     near = candidates.join(la, "a").join(rb, "b").withColumn("lim", limit).where(F.abs(F.col("na") - F.col("nb")) <= F.col("lim"))
-    for c in p:
+    for c in _P:
         near = near.where(_within(f"a{c}", f"b{c}"))
     ha = left.select(F.col("row").alias("a"), F.col("hs").alias("ha"))
     hb = right.select(F.col("row").alias("b"), F.col("hs").alias("hb"))
@@ -211,10 +229,12 @@ def near_classes(df: DataFrame, row: str, *columns: str) -> tuple[DataFrame, Dat
     non-negative integers.  Extra columns are never read.
     """
     sets = materialise(word_sets(df, row, *columns), "sets")
-    reps = sets.groupBy("key").agg(F.min("row").alias("rep"))
-    members = materialise(sets.select("row", "key").join(reps, "key").select("row", "rep"), "members")
-    own = members.where("row = rep").select("row")
-    first = materialise(with_pivots(sets.join(own, "row", "left_semi")), "pivots")
+    reps = sets.groupBy(*KEY).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("c"))
+    # most sets stand once and are their own class; only the others meet their class's name
+    many = reps.where("c > 1").drop("c")
+    named = materialise(sets.select("row", *KEY).join(many, KEY).select("row", "rep"), "named")
+    members = sets.select("row").join(named, "row", "left").select("row", F.coalesce("rep", "row").alias("rep"))
+    first = materialise(sets.join(named.where("row <> rep").select("row"), "row", "left_anti").drop(*KEY), "representatives")
     n = first.count()
     pairs = materialise(block_pairs(bands(first), partitions_for(df, n * BANDS)), "candidates")
     return members, materialise(verified(pairs, first, first).select("a", "b"), "links")
@@ -223,7 +243,7 @@ def near_classes(df: DataFrame, row: str, *columns: str) -> tuple[DataFrame, Dat
 def near_pairs(df: DataFrame, row: str, *columns: str) -> DataFrame:
     """(a, b), a < b: every alike pair of rows, copies included (classes expanded by salted joins)."""
     members, links = near_classes(df, row, *columns)
-    inside = salted_pairs(members.withColumnRenamed("rep", "k"), 2000)
+    inside = salted_pairs(members.select(F.col("rep").alias("k"), "row"), 2000)
     ma = members.select(F.col("rep").alias("a"), F.col("row").alias("ra"))
     mb = members.select(F.col("rep").alias("b"), F.col("row").alias("rb"))
     across = links.join(ma, "a").join(mb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
