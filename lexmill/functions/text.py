@@ -17,9 +17,10 @@ def lower_simple(c: Column) -> Column:
     """Lower case, one code point to one code point.
 
     Java's full mapping makes two code points of capital I with dot and looks at the
-    neighbours of capital sigma; both are mapped plainly first.
+    neighbours of capital sigma; where one of them stands, both are mapped plainly first.
     """
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    odd = F.contains(c, F.lit("İ")) | F.contains(c, F.lit("Σ"))
+    return F.when(odd, F.lower(F.translate(c, "İΣ", "iσ"))).otherwise(F.lower(c))
 
 
 def standard_tokens(c: Column) -> Column:
