@@ -3,13 +3,18 @@
 With joint counts n(t, r), marginals n(t) and n(r), and context counts smoothed by an exponent,
 ``score = max(0, ln(n(t, r) * sum_r n(r)^alpha / (n(t) * n(r)^alpha)))``.
 
-The join with n(t) is split by a proven bound: at most ``HEAVY`` terms can hold more than
+The joint counts are grouped inside each record (a record is one row, so nothing moves for
+them).  The join with n(t) is split by a proven bound: at most ``HEAVY`` terms can hold more than
 1 / ``HEAVY`` of all occurrences each, so those marginals are broadcast and their (many) rows
 never move; only rows of the other terms are shuffled, and none of those terms is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions.text import record_words
@@ -18,6 +23,30 @@ from lexmill.scratch import materialise
 HEAVY = 50_000
 
 
+def joint_counts(df: DataFrame, row: str, *columns: str) -> DataFrame:
+    """(row, term, tf, len, kinds): occurrences of every distinct word of a record, and the
+    record's words and distinct words."""
+    kind = df.schema[row].dataType.simpleString()
+    words = df.select(F.col(row).alias("row"), record_words(*columns).alias("w")).where(F.size("w") > 0)
+    return words.mapInArrow(_joint, f"row {kind}, term string, tf int, len int, kinds int")
+
+
+def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lens = np.diff(b.column(1).offsets.to_numpy())
+        enc = b.column(1).flatten().dictionary_encode()
+        size = len(enc.dictionary)
+        pairs, tf = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * size + enc.indices.to_numpy(), return_counts=True)
+        rec = pairs // size
+        kinds = np.bincount(rec, minlength=len(lens))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(rec)), enc.dictionary.take(pa.array(pairs % size)), pa.array(tf.astype(np.int32)), pa.array(lens[rec].astype(np.int32)), pa.array(kinds[rec].astype(np.int32))],
+            names=["row", "term", "tf", "len", "kinds"],
+        )
+
+
 def term_scores(df: DataFrame, row: str, *columns: str, alpha: float = 0.75, joint: str = "count", weight: str = "one") -> DataFrame:
     """(row, term, score) of every distinct word of the columns together.
 
@@ -30,24 +59,21 @@ def term_scores(df: DataFrame, row: str, *columns: str, alpha: float = 0.75, joi
     """
     if joint not in ("count", "presence") or weight not in ("one", "tf"):
         raise ValueError("joint is count or presence, weight is one or tf")
-    words = F.array_sort(record_words(*columns))
-    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | (F.element_at("w", i) != F.get("w", i)))
-    last = df.select(F.col(row).alias("row"), words.alias("w")).where(F.size("w") > 0).withColumn("e", ends)
-    counted = last.select("row", F.size("w").alias("len"), F.size("e").alias("kinds"), "w", "e")
-    terms = F.transform("e", lambda e, i: F.struct(F.get("w", e - 1).alias("term"), (e - F.when(i == 0, 0).otherwise(F.get("e", i - 1))).alias("tf")))
-    size = F.col("len" if joint == "count" else "kinds").cast("double")
-    kept = materialise(counted.select("row", F.pow(size, F.lit(float(alpha))).alias("ctx"), terms.alias("ts")), "record_terms")
-    flat = kept.select("row", "ctx", F.explode("ts").alias("x")).select("row", "ctx", "x.term", "x.tf")
-    n = F.sum(F.col("tf")) if joint == "count" else F.count(F.lit(1))
-    marginals = materialise(flat.groupBy("term").agg(n.cast("double").alias("nt")), "marginals")
+    kept = materialise(joint_counts(df, row, *columns), "joint")
+    ctx = F.pow(F.col("len" if joint == "count" else "kinds").cast("double"), F.lit(float(alpha)))
+    n = F.sum("tf") if joint == "count" else F.count(F.lit(1))
+    marginals = materialise(kept.groupBy("term").agg(n.cast("double").alias("nt")), "marginals")
     total = marginals.agg(F.sum("nt")).first()[0] or 0.0
-    mass = kept.agg(F.sum("ctx")).first()[0] or 0.0
-    limit = total / HEAVY
-    hot = flat.join(F.broadcast(marginals.where(F.col("nt") > limit)), "term")
-    rare = marginals.where(F.col("nt") <= limit)
-    cold = flat.join(F.broadcast(marginals.where(F.col("nt") > limit).select("term")), "term", "left_anti").join(rare, "term")
+    # every record's context counts once: each of its rows brings its share
+    mass = float(kept.agg(F.sum(ctx / F.col("kinds"))).first()[0] or 0.0)
+    if alpha == 0.0:
+        mass = float(round(mass))
+    heavy = F.broadcast(marginals.where(F.col("nt") > total / HEAVY))
+    rare = marginals.where(F.col("nt") <= total / HEAVY)
+    hot = kept.join(heavy, "term")
+    cold = kept.join(heavy.select("term"), "term", "left_anti").join(rare, "term")
     here = F.col("tf").cast("double") if joint == "count" else F.lit(1.0)
-    pmi = F.greatest(F.lit(0.0), F.log(here * F.lit(float(mass)) / (F.col("nt") * F.col("ctx"))))
+    pmi = F.greatest(F.lit(0.0), F.log(here * F.lit(mass) / (F.col("nt") * ctx)))
     score = pmi * F.col("tf") if weight == "tf" else pmi
     return hot.select("row", "term", score.alias("score")).unionByName(cold.select("row", "term", score.alias("score")))
 
