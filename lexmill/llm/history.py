@@ -131,10 +131,23 @@ class FingerprintStore:
             by_id = self._seen(ids, self._all("ids", own_ids), ["key"])
             known = materialise(by_id.unionByName(again).distinct(), "known")
             look = screened.where("k is not null").select("k")
-            meet = bands.unionByName(self._all("bands", bands)).join(look, "k", "left_semi")
-            pairs = near.block_pairs(meet, self.parts, since).join(known.select(F.col("pos").alias("b")), "b", "left_anti")
+            meet = materialise(bands.unionByName(self._all("bands", bands)).join(look, "k", "left_semi"), "meet")
             every = records.unionByName(self._all("records", records))
-            alike = near.verified(materialise(pairs, "pairs"), every, records)
+            # first every new row only with the earliest of each of its blocks: a group of near copies,
+            # however large, is found in one step per copy
+            first = meet.groupBy("k").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+            new = meet.where(F.col("row") >= since).join(known.select(F.col("pos").alias("row")), "row", "left_anti")
+            early = new.join(first, "k").where("a < row").select("a", F.col("row").alias("b")).distinct()
+            soon = near.verified(early, every, records).select(F.col("b").alias("pos")).distinct()
+            known = materialise(known.unionByName(soon), "known")
+            # then the rows still not found with all of their blocks, in which nothing else is paired
+            open_ = new.join(known.select(F.col("pos").alias("row")), "row", "left_anti").select("k", "row")
+            open_ = materialise(open_, "open")
+            rest = meet.join(open_.select("k").distinct(), "k", "left_semi")
+            late = open_.select("row").distinct().withColumn("late", F.lit(True))
+            keyed = rest.join(late, "row", "left").select("k", "row", F.coalesce("late", F.lit(False)).alias("late"))
+            pairs = materialise(near.block_pairs(keyed, self.parts), "pairs")
+            alike = near.verified(pairs, every, records)
             found = materialise(known.unionByName(alike.select(F.col("b").alias("pos")).distinct()), "found")
         self.segments += 1
         return found

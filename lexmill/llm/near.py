@@ -132,60 +132,68 @@ def bands(sets: DataFrame) -> DataFrame:
     return sets.select("row", "hs").mapInArrow(run, "k bigint, row bigint")
 
 
-def _pairs_of_runs(k: np.ndarray, rows: np.ndarray, cap: int, since: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of sorted keys: (a, b, key), a < b, b >= since, of all pairs in runs of up to ``cap``; longer runs come as (row, -1, key)."""
+def _pairs_of_runs(k: np.ndarray, rows: np.ndarray, late: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of sorted keys: (a, b, key), a < b, b wanted by ``late``, of all pairs in runs of up to ``cap``.
+
+    Of longer runs come the members: (row, -1, key), or (row, -2, key) for those wanted as b.
+    """
     edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
     start, length = edge[:-1], np.diff(edge)
     for n in np.unique(length[length > 1]):
         s = start[length == n]
         if n > cap:
             for x in s:
-                yield rows[x : x + n], np.full(n, -1, rows.dtype), k[x : x + n]
+                yield rows[x : x + n], np.where(late[x : x + n], -2, -1), k[x : x + n]
             continue
         i, j = np.triu_indices(n, 1)
         step = max(1, 200_000 // len(i))
         for at in range(0, len(s), step):
             c = s[at : at + step, None]
-            a, b = rows[c + i].ravel(), rows[c + j].ravel()
-            a, b, key = np.minimum(a, b), np.maximum(a, b), np.repeat(k[s[at : at + step]], len(i))
-            late = b >= since
-            yield a[late], b[late], key[late]
+            x, y = (c + i).ravel(), (c + j).ravel()
+            turn = rows[x] > rows[y]
+            x, y = np.where(turn, y, x), np.where(turn, x, y)
+            keep = late[y] & (rows[x] != rows[y])
+            yield rows[x][keep], rows[y][keep], k[x][keep]
 
 
-def block_pairs(keyed: DataFrame, partitions: int, since: int = 0, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, b >= since: distinct pairs of rows (non-negative integers) that share a key of ``keyed`` (k, row).
+def block_pairs(keyed: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: distinct pairs of rows (non-negative integers) that share a key of ``keyed``.
 
+    ``keyed`` is (k, row) or (k, row, late); with ``late`` only pairs whose b has it set come.
     Keys with more than ``block`` rows take the salted way, so no task pairs a whole hot key.
     """
+    if "late" not in keyed.columns:
+        keyed = keyed.withColumn("late", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for b in batches if b.num_rows]
         if not got:
             return
-        k, rows = (np.concatenate(x) for x in zip(*got))
+        k, rows, late = (np.concatenate(x) for x in zip(*got))
         got.clear()
         order = np.argsort(k, kind="stable")
-        k, rows = k[order], rows[order]
-        for a, b, key in _pairs_of_runs(k, rows, block, since):
+        for a, b, key in _pairs_of_runs(k[order], rows[order], late[order].astype(bool), block):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key)], names=["a", "b", "k"])
 
-    found = materialise(keyed.repartition(partitions, "k").mapInArrow(run, "a bigint, b bigint, k bigint"), "blocks")
+    found = materialise(keyed.select("k", "row", "late").repartition(partitions, "k").mapInArrow(run, "a bigint, b bigint, k bigint"), "blocks")
     light = found.where("b >= 0").select("a", "b")
-    hot = found.where("b < 0").select("k", F.col("a").alias("row"))
-    return light.unionByName(salted_pairs(hot, block, since)).where("a < b").distinct()
+    hot = found.where("b < 0").select("k", F.col("a").alias("row"), (F.col("b") == -2).alias("late"))
+    return light.unionByName(salted_pairs(hot, block)).distinct()
 
 
-def salted_pairs(members: DataFrame, piece: int, since: int = 0) -> DataFrame:
-    """(a, b): all pairs a < b, b >= since, of rows under one key; a key's members are cut into pieces of about ``piece``.
+def salted_pairs(members: DataFrame, piece: int) -> DataFrame:
+    """(a, b): all pairs a < b of rows under one key, of (k, row) or (k, row, late).
 
-    Each row goes to one piece on the left and to every piece on the right, so the largest
-    task joins ``piece`` rows with ``piece`` rows whatever the key holds.
+    A key's members are cut into pieces of about ``piece``; each row goes to one piece on the
+    left and to every piece on the right, so the largest task joins ``piece`` rows with
+    ``piece`` rows whatever the key holds.
     """
     count = F.count(F.lit(1))
     sizes = members.groupBy("k").agg(F.ceil(count / F.lit(piece)).cast("int").alias("pieces"), count.alias("c")).where("c > 1").drop("c")
     m = members.join(sizes, "k").withColumn("s", F.pmod(F.xxhash64("row"), F.col("pieces")))
-    left = m.select("k", F.col("row").alias("a"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("sb"))
-    right = m.where(F.col("row") >= since).select("k", F.col("row").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("sa"))
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    left = m.select("k", F.col("row").alias("a"), F.col("s").alias("sa"), every.alias("sb"))
+    right = (m.where("late") if "late" in members.columns else m).select("k", F.col("row").alias("b"), F.col("s").alias("sb"), every.alias("sa"))
     return left.join(right, ["k", "sa", "sb"]).where("a < b").select("a", "b")
 
 
