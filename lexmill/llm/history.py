@@ -72,17 +72,19 @@ def bloom_holds(bits: bytes, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _screen(keys: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
-    """Of one partition: the keys to look up (k set), and the filter of the partition's new keys (bits set)."""
-    if not len(keys):
-        return pd.DataFrame({"part": [], "k": [], "bits": []})
-    k = keys["k"].to_numpy()
-    hit = keys["twice"].to_numpy().astype(bool)
+def _screen(bands: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
+    """Of one partition: the batch's fingerprints to look up (k and row set), and the filter of all of them (bits set)."""
+    if not len(bands):
+        return pd.DataFrame({"part": [], "k": [], "row": [], "bits": []})
+    k, at, n = np.unique(bands["k"].to_numpy(), return_inverse=True, return_counts=True)
+    hit = n > 1
     for bits in blooms["bits"]:
         hit |= bloom_holds(bits, k)
-    part = int(keys["part"].iloc[0])
-    out = pd.DataFrame({"part": part, "k": pd.array(k[hit], "Int64"), "bits": None})
-    return pd.concat([out, pd.DataFrame({"part": [part], "k": pd.array([None], "Int64"), "bits": [bloom_bits(k)]})])
+    take = hit[at]
+    part = int(bands["part"].iloc[0])
+    out = pd.DataFrame({"part": part, "k": bands["k"][take].astype("Int64"), "row": bands["row"][take].astype("Int64"), "bits": None})
+    own = pd.DataFrame({"part": [part], "k": pd.array([None], "Int64"), "row": pd.array([None], "Int64"), "bits": [bloom_bits(k)]})
+    return pd.concat([out, own])
 
 
 class FingerprintStore:
@@ -121,17 +123,19 @@ class FingerprintStore:
         records = self._add("records", sets.join(again, sets["row"] == again["pos"], "left_anti"))
         bands = self._add("bands", near.bands(records))
         like = self.spark.createDataFrame([], "part int, bits binary")
-        distinct = bands.groupBy("k").agg((F.count(F.lit(1)) > 1).alias("twice")).withColumn("part", F.pmod("k", F.lit(self.parts)).cast("int"))
+        # one shuffle: fingerprints are a few bytes, so a partition holds even a hot one whole
+        dealt = bands.withColumn("part", F.pmod("k", F.lit(self.parts)).cast("int")).repartition(self.parts, "part")
         screened = materialise(
-            distinct.groupBy("part").cogroup(self._all("blooms", like).groupBy("part")).applyInPandas(_screen, "part int, k bigint, bits binary"), "screened"
+            dealt.groupBy("part").cogroup(self._all("blooms", like).groupBy("part")).applyInPandas(_screen, "part int, k bigint, row bigint, bits binary"), "screened"
         )
         self._add("blooms", screened.where("bits is not null").select("part", "bits"))
         found = None
         if check:
             by_id = self._seen(ids, self._all("ids", own_ids), ["key"])
             known = materialise(by_id.unionByName(again).distinct(), "known")
-            look = screened.where("k is not null").select("k")
-            meet = materialise(bands.unionByName(self._all("bands", bands)).join(look, "k", "left_semi"), "meet")
+            hits = screened.where("k is not null").select("k", "row")
+            old = self._all("bands", bands).join(hits.select("k").distinct(), "k", "left_semi")
+            meet = materialise(hits.unionByName(old.select("k", "row")), "meet")
             every = records.unionByName(self._all("records", records))
             # first every new row only with the earliest of each of its blocks: a group of near copies,
             # however large, is found in one step per copy
