@@ -8,10 +8,12 @@ local temporary folder made and set.
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -63,3 +65,16 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+class Shared:
+    """An object for Python workers: sent once per executor, decoded once per worker process."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        sent = self._sent
+        if not hasattr(sent, "decoded"):
+            sent.decoded = pickle.loads(sent.value)
+        return sent.decoded
