@@ -28,6 +28,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.scratch import Shared
+
 #: Fixed value: the published pre-token pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_VOCABULARY = 1_000_000
@@ -219,11 +221,11 @@ def encode_column(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """
     if os.path.getsize(path) > 64 << 20:
         raise ValueError("the vocabulary file is over 64 MB")
-    shared = df.sparkSession.sparkContext.broadcast(Encoder(read_ranks(path)))
+    shared = Shared(df.sparkSession, Encoder(read_ranks(path)))
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared.value
+        enc = shared.get()
         for b in batches:
             ends = np.cumsum(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy().astype(np.int64))
             at = 0

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.scratch import Shared
+
 #: Words that count: at least so many in a row.
 LEAST = 10
 #: A text of which more than this share of words is leaked is removed whole.
@@ -146,10 +148,10 @@ def leaks(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton) -> Dat
     ``longest`` is the greatest matching length at a place that this item shares.  Null and
     empty texts hold nothing; a pair comes once per row of ``df``; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+    shared = Shared(df.sparkSession, automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.value
+        sam = shared.get()
         for b in batches:
             keys, items, longest = [], [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -171,7 +173,7 @@ def cleaned(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton, cove
 
     A text of which more than ``coverage`` of the words are leaked becomes null; null stays null.
     """
-    shared = df.sparkSession.sparkContext.broadcast(automaton)
+    shared = Shared(df.sparkSession, automaton)
 
     def one(sam: SuffixAutomaton, t: str | None) -> tuple[int, int, str | None]:
         seq = words(t)
@@ -196,7 +198,7 @@ def cleaned(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton, cove
         return len(seq), leaked, "".join(out) + t[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.value
+        sam = shared.get()
         for b in batches:
             got = [one(sam, t) for t in b.column(1).to_pylist()]
             n, leaked, kept = zip(*got) if got else ((), (), ())
