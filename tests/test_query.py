@@ -198,6 +198,15 @@ def test_wildcard_expression(pattern, text):
     assert bool(re.match(expand.wildcard_regex(pattern).replace(r"\z", r"\Z"), text)) == fits(pattern, text)
 
 
+def test_expanding_leaves_score_the_sum_of_their_terms(view, corpus):
+    for q, fits in ((ast.Prefix("np", "hel", 2.0), lambda w: w.startswith("hel")), (ast.Fuzzy("np", "hello", 1), lambda w: w in {"hello", "hallo", "hell", "hxllo", "heello", "hällo"})):
+        got = run(q, view)
+        assert set(got) == {i for i in corpus if fits(WORDS[i % len(WORDS)].lower())}
+    one = run(ast.Prefix("np", "help", 2.0), view)
+    assert {i: round(s, 9) for i, s in one.items()} == {i: round(s, 9) for i, s in run(bool_of(should=[Term("np", "help", 2.0)]), view).items()}
+    assert run(ast.Phrase("f", ("a",)), view).keys() == run(a, view).keys()
+
+
 def test_limits():
     bad = [
         ast.Wildcard("f", "x" * 257), ast.Fuzzy("f", "hello", 3), ast.Fuzzy("f", "ab", 1), ast.Phrase("f", ()), ast.Phrase("f", ("a",) * 51), ast.Proximity("f", ("a",) * 11),
