@@ -6,7 +6,7 @@ hashes, so the Hamming distance of two fingerprints is the number of words in ju
 
 * **Blocks**: ``BANDS`` keys per record, each made of the minima of ``ROWS`` seeded orders.
   Records that share a key are candidates.  A pair at similarity s is missed with probability
-  ``(1 - s**ROWS) ** BANDS``: 0.3 % at exactly 0.7, under 1e-4 from 0.74 on.
+  ``(1 - s**ROWS) ** BANDS``: 0.3 % at exactly 0.7, about 1e-4 at 0.74, falling fast above.
 * **Pivots**: ``PIVOTS`` reference fingerprints (bit i of every word's hash says whether the
   word is in pivot i).  The distance to a pivot is ``|P| + |x| - 2 |x and P|``; the constant
   ``|P|`` is left out.  By the triangle inequality the largest difference of coordinates is
