@@ -1,8 +1,11 @@
-"""Places for intermediate tables that every executor can read.
+"""Places for intermediate tables that every executor can read, and their end.
 
 A lineage is cut by writing Parquet below the folder the session names in
-``spark.checkpoint.dir``.  Only when a session names none (tests, a laptop) is a
-local temporary folder made and set.
+``spark.checkpoint.dir``.  Where a session names none, a local master gets a temporary folder;
+any other master is an error, since executors elsewhere could not read it.
+
+Tables made inside a :class:`Scope` are deleted at its end, but for those it keeps; what is left
+goes when the process ends.
 """
 
 from __future__ import annotations
@@ -11,19 +14,28 @@ import atexit
 import pickle
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_RUN = uuid.uuid4().hex
+_roots: dict[str, tuple] = {}
+_local = threading.local()
+
+
+class NoSharedFolderError(RuntimeError):
+    """A cluster session without ``spark.checkpoint.dir``."""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one, set once, where none is named."""
+    """The cluster's shared folder; a temporary one, set once, for a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolderError("set spark.checkpoint.dir to a folder that every executor can read")
     own = tempfile.mkdtemp(prefix="lexmill-")
     atexit.register(shutil.rmtree, own, True)
     spark.conf.set("spark.checkpoint.dir", own)
@@ -31,9 +43,65 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _delete(jvm, conf, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def _root(spark: SparkSession) -> str:
+    root = f"{shared_dir(spark)}/lexmill-{_RUN}"
+    if root not in _roots:
+        _roots[root] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return root
+
+
+@atexit.register
+def release_all() -> None:
+    """Deletes everything this process still has below shared folders; frames that read it become invalid."""
+    while _roots:
+        root, (jvm, conf) = _roots.popitem()
+        try:
+            _delete(jvm, conf, root)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
+class Scope:
+    """``with Scope(spark) as s:`` deletes at its end what was made inside, except ``s.keep(df)``."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        _scopes().append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Hands a materialised table to the scope around this one (or to the process)."""
+        path = df._lexmill_path
+        self.paths.remove(path)
+        outer = _scopes()[:-1]
+        if outer:
+            outer[-1].paths.append(path)
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        _scopes().remove(self)
+        for path in self.paths:
+            _delete(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _scopes() -> list[Scope]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lexmill-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path))
+    """A new place below the shared folder; it belongs to the innermost scope."""
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].paths.append(path)
     return path
 
 
@@ -42,19 +110,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Delete every table made by :func:`materialise` in this process; frames that read them become invalid."""
-    n = 0
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        _, path = _made.pop()
-        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        n += bool(p.getFileSystem(conf).delete(p, True))
-    return n
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexmill_path = path
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -64,7 +122,7 @@ def spread(df: DataFrame) -> DataFrame:
     large table has more splits than cores and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 class Shared:
