@@ -1,28 +1,33 @@
-"""Near-duplicate search over sets of words: pivot distance tables behind a MinHash block search.
+"""Near-duplicate search over sets of words: pivot distance tables in MinHash blocks.
 
 A record is the set of its distinct words; two records are alike if the words in both make
 up at least ``T`` of the words in either.  The set is a 0/1 fingerprint over all 64-bit word
-hashes, so the Hamming distance of two fingerprints is the number of words in just one set.
-
-* **Blocks**: ``BANDS`` keys per record, each made of the minima of ``ROWS`` seeded orders.
-  Records that share a key are candidates.  A pair at similarity s is missed with probability
-  ``(1 - s**ROWS) ** BANDS``: 0.3 % at exactly 0.7, about 1e-4 at 0.74, falling fast above.
-* **Pivots**: ``PIVOTS`` reference fingerprints (bit i of every word's hash says whether the
-  word is in pivot i).  The distance to a pivot is ``|P| + |x| - 2 |x and P|``; the constant
-  ``|P|`` is left out.  By the triangle inequality the largest difference of coordinates is
-  at most the distance, and alike records are at most ``(1-T)/(1+T) (|x|+|y|)`` apart, so a
-  pair with a larger difference is discarded without losing any.  Coordinates are clamped
-  to a byte, which only shrinks differences.
+hashes, so the Hamming distance of two fingerprints is the number of words in just one set,
+and alike records are at most ``(1-T)/(1+T) (|x|+|y|)`` apart.
+
+* **Pivots**: the hash space is cut into ``GROUPS`` disjoint groups; the reference
+  fingerprints are all ``2 ** GROUPS`` unions of groups.  The distance of x to the union U is
+  ``|U| + |x| - 2 |x and U|``, so the table of all of them follows from the words of x in each
+  group, and the largest difference of two records' coordinates over all references is the
+  sum over the groups of the differences of these counts (the union that gives it is that of
+  the groups in which x has more words than y).  By the triangle inequality it is at most the
+  distance: a pair with a larger one is discarded without losing any.  Counts are clamped to
+  four bits, which only shrinks differences.
+* **Blocks**: which pairs are looked at.  ``BANDS`` keys per record, each of the minima of
+  ``ROWS`` seeded orders; records that share a key meet, with their pivot tables.  A pair at
+  similarity s is missed with probability ``(1 - s**ROWS) ** BANDS``: 0.3 % at exactly 0.7,
+  1e-4 at 0.76.  The keys are coarse on purpose; the tables discard nearly all they bring
+  together (figures in the README).
 * **Verification**: the survivors' word hashes are intersected exactly.
 
-Equal sets are one class and searched once.  A block of more than ``BLOCK`` records is not
-paired in one task: its members go to a salted join in which the block is cut into pieces
-and every piece meets every other.
+Equal sets are one class and searched once.  Keys that hold more than a share of the rows
+are found before the shuffle and never go through it; a run of one key is never held by a
+task beyond ``BLOCK`` rows: both take a salted join that applies the tables as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,65 +35,85 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions.text import record_words
+from lexmill.operators.skew import spread_join
 from lexmill.scratch import materialise
 
 T = 0.7
 MIN_WORDS = 12
-ROWS = 8
-BANDS = 96
-PIVOTS = 32
-BLOCK = 256
+ROWS = 5
+BANDS = 32
+GROUPS = 32
+BLOCK = 1024
+#: A key is routed around the shuffle if it holds more than one in so many rows.
+SHARE = 500
 SEED = 20240607
 
 _rng = np.random.default_rng(SEED)
-_MUL = (_rng.integers(0, 1 << 32, size=(BANDS, ROWS), dtype=np.uint64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, size=(BANDS, ROWS), dtype=np.uint64).astype(np.uint32)
-_MIX = (_rng.integers(0, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-
+_MOST = (64, 8)
+_MUL = (_rng.integers(0, 1 << 32, size=_MOST, dtype=np.uint64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, size=_MOST, dtype=np.uint64).astype(np.uint32)
+_MIX = (_rng.integers(0, 1 << 63, size=_MOST, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 KEY = ["key", "key2"]
-_P = [f"p{i}" for i in range(PIVOTS // 8)]
+TABLE = ["p0", "p1"]
+#: Low bits of a block key that hold the record's size, so a sorted block is in order of sizes.
+SIZE_BITS = 12
+_SIZE = (1 << SIZE_BITS) - 1
+_OUT = "a bigint, b bigint, k bigint"
 
 
 def word_sets(df: DataFrame, row: str, *columns: str) -> DataFrame:
-    """(row, n, key, key2, hs, p0, p1, ...): distinct words of every record with at least ``MIN_WORDS``.
+    """(row, n, key, key2, hs, p0, p1): distinct words of every record with at least ``MIN_WORDS``.
 
     ``hs`` are their 64-bit hashes, ``key`` and ``key2`` a 128-bit hash of the set, the rest is
     the pivot table.  Words are hashed once per Arrow batch, not once per record.
     """
     tokens = df.select(F.col(row).cast("bigint").alias("row"), record_words(*columns).alias("w")).where(F.size("w") >= MIN_WORDS)
-    return tokens.mapInArrow(_sets, "row bigint, n int, key bigint, key2 bigint, hs array<bigint>, " + ", ".join(f"{c} bigint" for c in _P))
+    return tokens.mapInArrow(_sets, "row bigint, n int, key bigint, key2 bigint, hs array<bigint>, p0 bigint, p1 bigint")
+
+
+def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column of words without nulls: lengths, the words' places in a dictionary, its hashes."""
+    lens = np.diff(col.offsets.to_numpy())
+    enc = col.flatten().dictionary_encode()
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
+    return lens, enc.indices.to_numpy().astype(np.int64), hashes
+
+
+def distinct_sets(lens: np.ndarray, codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, flat hashes) of every record's distinct words."""
+    size = max(1, len(hashes))
+    pairs = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * size + codes)
+    return np.bincount(pairs // size, minlength=len(lens)).astype(np.int32), hashes[pairs % size]
+
+
+def set_keys(hs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of every set, the same in any order of its words."""
+    k1 = np.add.reduceat((hs ^ (hs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) ^ hs, starts)
+    k2 = np.add.reduceat((hs ^ (hs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (hs << np.uint64(7)), starts)
+    return k1.view(np.int64), k2.view(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        col = b.column(1)
-        lens = np.diff(col.offsets.to_numpy())
-        enc = col.flatten().dictionary_encode()
-        size = len(enc.dictionary)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint64, size)
-        pairs = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * size + enc.indices.to_numpy())
-        n = np.bincount(pairs // size, minlength=len(lens)).astype(np.int32)
+        lens, codes, hashes = hashed(b.column(1))
+        n, hs = distinct_sets(lens, codes, hashes)
         keep = n >= MIN_WORDS
-        hs = hashes[pairs % size][np.repeat(keep, n)]
-        n = n[keep]
+        hs, n = hs[np.repeat(keep, n)], n[keep]
         if not len(n):
             continue
         ends = np.cumsum(n)
         starts = ends - n
-        k1 = np.add.reduceat((hs ^ (hs >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) ^ hs, starts)
-        k2 = np.add.reduceat((hs ^ (hs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (hs << np.uint64(7)), starts)
-        d = pivot_table(hs, starts, n)
+        k1, k2 = set_keys(hs, starts)
+        d = pivot_table(hs, n)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(hs.view(np.int64)))
         rows = b.column(0).filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays(
-            [rows, pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, *(pa.array(d[:, i]) for i in range(len(_P)))], names=["row", "n", *KEY, "hs", *_P]
-        )
+        yield pa.RecordBatch.from_arrays([rows, pa.array(n), pa.array(k1), pa.array(k2), lists, pa.array(d[:, 0]), pa.array(d[:, 1])], names=["row", "n", *KEY, "hs", *TABLE])
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and start offsets of a list column without nulls."""
     col = batch.column(batch.schema.get_field_index(name))
     offsets = col.offsets.to_numpy()
@@ -96,93 +121,224 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return flat.view(np.uint64), (offsets - offsets[0])[:-1]
 
 
-def pivot_table(hs: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Pivot distances, one byte a pivot, eight to a 64-bit integer: (records, PIVOTS / 8)."""
-    bits = np.unpackbits(hs.view(np.uint8).reshape(-1, 8)[:, : PIVOTS // 8], axis=1)
-    inside = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    d = np.clip(n[:, None] - 2 * inside, -128, 127).astype(np.int8)
-    return np.ascontiguousarray(d).view(np.int64)
+def pivot_table(hs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words per group, four bits a group, in two 64-bit integers: (records, 2)."""
+    group = ((hs >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64)
+    c = np.bincount(np.repeat(np.arange(len(n), dtype=np.int64), n) * GROUPS + group, minlength=len(n) * GROUPS).reshape(-1, GROUPS)
+    c = np.minimum(c, 15).astype(np.uint8)
+    return np.ascontiguousarray(c[:, 0::2] | (c[:, 1::2] << 4)).view(np.int64)
+
+
+def unpacked(p: np.ndarray) -> np.ndarray:
+    """The counts of a packed table: (records, GROUPS)."""
+    b = np.ascontiguousarray(p).view(np.uint8).reshape(len(p), -1)
+    return np.concatenate([b & 15, b >> 4], axis=1).view(np.int8)
 
 
-def band_keys(hs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit keys of all bands: (records, BANDS)."""
+def table_distance(p: str = "a", q: str = "b") -> Column:
+    """Largest difference over all pivots between the tables in columns ``ap0, ap1`` and ``bp0, bp1``."""
+    total = None
+    for c in TABLE:
+        for i in range(0, 64, 4):
+            bits = lambda x: F.shiftrightunsigned(F.col(f"{x}{c}"), i).bitwiseAND(F.lit(15))  # noqa: E731,B023
+            d = F.abs(bits(p) - bits(q))
+            total = d if total is None else total + d
+    return total
+
+
+def band_keys(hs: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """64-bit keys of all bands: (records, bands)."""
     h = (hs ^ (hs >> np.uint64(32))).astype(np.uint32)
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.empty((len(starts), bands), np.uint64)
+    for b in range(bands):
         acc = np.full(len(starts), b + 1, np.uint64)
-        for r in range(ROWS):
+        for r in range(rows):
             low = np.minimum.reduceat((h ^ _XOR[b, r]) * _MUL[b, r], starts)
             acc = (acc ^ (acc >> np.uint64(29))) * _MIX[b, r] + low
-        out[:, b] = acc ^ (acc >> np.uint64(32))
-    return out.view(np.int64)
+        out[:, b] = (acc ^ (acc >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _slices(batches: Iterable[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
 
 
-def bands(sets: DataFrame) -> DataFrame:
-    """(k, row): every record under each of its band keys."""
+def bands(sets: DataFrame, tag: str | None = None) -> DataFrame:
+    """(k, row, p0, p1[, tag]): every record under each of its keys, with its size in the key's low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                flat, starts = _lists(part, "hs")
-                keys = band_keys(flat, starts)
-                rows = np.repeat(part.column(0).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rows)], names=["k", "row"])
+        for part in _slices(batches):
+            flat, starts = lists_of(part, "hs")
+            size = np.minimum(part.column(1).to_numpy(), _SIZE).astype(np.uint64)
+            keys = (band_keys(flat, starts) & ~np.uint64(_SIZE)) | size[:, None]
+            cols = [pa.array(np.repeat(part.column(i).to_numpy(), BANDS)) for i in (0, *range(3, part.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *cols], names=["k", "row", *TABLE, *([tag] if tag else [])])
+
+    cols = ["row", "n", "hs", *TABLE, *([tag] if tag else [])]
+    return sets.select(*cols).mapInArrow(run, "k bigint, row bigint, p0 bigint, p1 bigint" + (f", {tag} bigint" if tag else ""))
+
 
-    return sets.select("row", "hs").mapInArrow(run, "k bigint, row bigint")
+def block_of(k: str = "k") -> Column:
+    """The block of a key: the key without the size."""
+    return F.shiftright(k, SIZE_BITS)
 
 
-def _pairs_of_runs(k: np.ndarray, rows: np.ndarray, late: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of sorted keys: (a, b, key), a < b, b wanted by ``late``, of all pairs in runs of up to ``cap``.
+def hot_blocks(sets: DataFrame) -> list[int]:
+    """Blocks that hold more than about one in ``SHARE`` rows; at most ``2 * SHARE * BANDS`` by construction.
 
-    Of longer runs come the members: (row, -1, key), or (row, -2, key) for those wanted as b.
+    A key with such a share of all rows has it in some Arrow batch, so batches tell only their
+    own frequent keys and these few are added up.
     """
-    edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, starts = lists_of(b, "hs")
+            h, c = np.unique((band_keys(flat, starts).view(np.int64) >> SIZE_BITS).ravel(), return_counts=True)
+            take = c > max(64, b.num_rows // SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(c[take])], names=["h", "c"])
+
+    found = sets.select("hs").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    least = max(BLOCK, sets.count() // (2 * SHARE))
+    return [r["h"] for r in found.where(F.col("c") > least).select("h").collect()]
+
+
+def _limit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.floor((x + y) * ((1 - T) / (1 + T)) + 1e-9)
+
+
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of pairs of places: those that sizes and pivots leave."""
+    nx, ny = n[x], n[y]
+    at = np.flatnonzero((np.abs(nx - ny) <= _limit(nx, ny)) | (nx == _SIZE) | (ny == _SIZE))
+    x, y = x[at], y[at]
+    top = np.where((n[x] == _SIZE) | (n[y] == _SIZE), 1 << 30, _limit(n[x], n[y]))
+    return at[np.abs(c[x] - c[y]).sum(axis=1, dtype=np.int32) <= top]
+
+
+def _pairs(h: np.ndarray, n: np.ndarray, row: np.ndarray, c: np.ndarray, tag: np.ndarray | None, star: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs left in whole blocks: all of a block (of different tags), or with ``star`` those with its least row."""
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
     start, length = edge[:-1], np.diff(edge)
-    for n in np.unique(length[length > 1]):
-        s = start[length == n]
-        if n > cap:
-            for x in s:
-                yield rows[x : x + n], np.where(late[x : x + n], -2, -1), k[x : x + n]
+    for m in np.unique(length[length > 1]):
+        s = start[length == m]
+        if star:
+            block = s[:, None] + np.arange(m)
+            least = block[np.arange(len(s)), row[block].argmin(axis=1)]
+            x, y = np.repeat(least, m), block.ravel()
+            ok = x != y
+            x, y = x[ok], y[ok]
+            at = _close(x, y, n, c)
+            yield row[x[at]], row[y[at]]
             continue
-        i, j = np.triu_indices(n, 1)
-        step = max(1, 200_000 // len(i))
-        for at in range(0, len(s), step):
-            c = s[at : at + step, None]
-            x, y = (c + i).ravel(), (c + j).ravel()
-            turn = rows[x] > rows[y]
-            x, y = np.where(turn, y, x), np.where(turn, x, y)
-            keep = late[y] & (rows[x] != rows[y])
-            yield rows[x][keep], rows[y][keep], k[x][keep]
-
-
-def block_pairs(keyed: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: distinct pairs of rows (non-negative integers) that share a key of ``keyed``.
-
-    ``keyed`` is (k, row) or (k, row, late); with ``late`` only pairs whose b has it set come.
-    Keys with more than ``block`` rows take the salted way, so no task pairs a whole hot key.
-    """
-    if "late" not in keyed.columns:
-        keyed = keyed.withColumn("late", F.lit(True))
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 400_000 // len(i))
+        for a in range(0, len(s), step):
+            x, y = ((s[a : a + step, None] + k).ravel() for k in (i, j))
+            if tag is not None:
+                ok = tag[x] != tag[y]
+                x, y = x[ok], y[ok]
+            at = _close(x, y, n, c)
+            yield row[x[at]], row[y[at]]
+
+
+def _scan(tagged: bool, star: bool, block: int):
+    """Streams a task's rows in order of their keys; holds one block of at most ``block`` rows beside an Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)) for b in batches if b.num_rows]
-        if not got:
-            return
-        k, rows, late = (np.concatenate(x) for x in zip(*got))
-        got.clear()
-        order = np.argsort(k, kind="stable")
-        for a, b, key in _pairs_of_runs(k[order], rows[order], late[order].astype(bool), block):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(key)], names=["a", "b", "k"])
+        held: list[np.ndarray] | None = None
+        over: int | None = None  # the block that is too large and leaves row by row
 
-    found = materialise(keyed.select("k", "row", "late").repartition(partitions, "k").mapInArrow(run, "a bigint, b bigint, k bigint"), "blocks")
-    light = found.where("b >= 0").select("a", "b")
-    hot = found.where("b < 0").select("k", F.col("a").alias("row"), (F.col("b") == -2).alias("late"))
-    return light.unionByName(salted_pairs(hot, block)).distinct()
+        def out(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k)], names=["a", "b", "k"])
 
+        def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            k, row, p0, p1 = cols[:4]
+            h, n = k >> SIZE_BITS, k & _SIZE
+            for a, b in _pairs(h, n, row, unpacked(np.stack([p0, p1], axis=1)), cols[4] if tagged else None, star):
+                if len(a):
+                    yield out(np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
 
-def salted_pairs(members: DataFrame, piece: int) -> DataFrame:
-    """(a, b): all pairs a < b of rows under one key, of (k, row) or (k, row, late).
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(i).to_numpy() for i in range(5 if tagged else 4)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            h = cols[0] >> SIZE_BITS
+            if over is not None:
+                n = int(np.searchsorted(h != over, True))
+                if n:
+                    yield out(cols[1][:n], np.full(n, -1), np.full(n, over))
+                cols, h = [c[n:] for c in cols], h[n:]
+                if not len(h):
+                    held = None
+                    continue
+                over = None
+            last = len(h) - int(np.searchsorted(h[::-1] != h[-1], True))
+            # blocks inside that are too large leave as well
+            edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            big = np.repeat(np.diff(edge) > block, np.diff(edge))
+            if big.any():
+                yield out(cols[1][big], np.full(int(big.sum()), -1), h[big])
+            ready = ~big
+            ready[last:] = False
+            if ready.any():
+                yield from whole([c[ready] for c in cols])
+            if big[-1]:
+                over, held = int(h[-1]), None
+            else:
+                held = [c[last:] for c in cols]
+        if held is not None and len(held[0]):
+            yield from whole(held)
+
+    return run
+
+
+def candidates(sets: DataFrame, tag: str | None = None, star: bool = False, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: distinct pairs of rows that share a block and that sizes and pivots leave.
+
+    With ``tag`` (a bigint column) only pairs of different tags; with ``star`` only pairs of a
+    row and the least row of their block.
+    """
+    hot = hot_blocks(sets)
+    every = bands(sets, tag)
+    cols = every.columns
+    cold = every.join(F.broadcast(_frame(sets, hot)), block_of() == F.col("h"), "left_anti") if hot else every
+    parts = partitions_for(sets, sets.count() * BANDS)
+    scanned = materialise(cold.repartition(parts, block_of()).sortWithinPartitions("k").mapInArrow(_scan(bool(tag), star, block), _OUT), "blocks")
+    light = scanned.where("b >= 0").select("a", "b")
+    over = scanned.where("b < 0").select("k", F.col("a").alias("row")).distinct()
+    if not hot and over.isEmpty():
+        return light.distinct()
+    payload = sets.select("row", F.least("n", F.lit(_SIZE)).alias("n"), *TABLE, *([tag] if tag else []))
+    members = [over.join(payload, "row")]
+    if hot:
+        members.append(every.join(F.broadcast(_frame(sets, hot)), block_of() == F.col("h")).select(F.col("h").alias("k"), "row", F.col("k").bitwiseAND(F.lit(_SIZE)).cast("int").alias("n"), *cols[2:]))
+    all_ = materialise(members[0] if not hot else members[0].unionByName(members[1]), "members")
+    if tag:  # a block of one tag has nothing to give
+        mixed = all_.groupBy("k").agg(F.min(tag).alias("x"), F.max(tag).alias("y")).where("x <> y").select("k")
+        all_ = materialise(spread_join(all_, mixed, "k"), "mixed")
+    heavy = salted_star(all_) if star else salted_pairs(all_, 2000, tag)
+    return light.unionByName(heavy).distinct()
+
+
+def _frame(df: DataFrame, blocks: list[int]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(h,) for h in blocks], "h bigint")
+
+
+def _left(na: str = "na", nb: str = "nb") -> Column:
+    """Whether sizes and tables leave a pair (columns na, nb, ap0, ap1, bp0, bp1)."""
+    a, b = F.col(na), F.col(nb)
+    lim = F.floor((a + b) * F.lit((1 - T) / (1 + T)) + F.lit(1e-9))
+    return (a >= _SIZE) | (b >= _SIZE) | ((F.abs(a - b) <= lim) & (table_distance() <= lim))
+
+
+def salted_pairs(members: DataFrame, piece: int, tag: str | None = None) -> DataFrame:
+    """(a, b): pairs a < b of rows under one key, of (k, row[, n, p0, p1[, tag]]); with tables those they leave.
 
     A key's members are cut into pieces of about ``piece``; each row goes to one piece on the
     left and to every piece on the right, so the largest task joins ``piece`` rows with
@@ -190,71 +346,76 @@ def salted_pairs(members: DataFrame, piece: int) -> DataFrame:
     """
     count = F.count(F.lit(1))
     sizes = members.groupBy("k").agg(F.ceil(count / F.lit(piece)).cast("int").alias("pieces"), count.alias("c")).where("c > 1").drop("c")
-    m = members.join(sizes, "k").withColumn("s", F.pmod(F.xxhash64("row"), F.col("pieces")))
+    m = spread_join(members, sizes, "k").withColumn("s", F.pmod(F.xxhash64("row"), F.col("pieces")))
+    more = [c for c in ("n", *TABLE, tag) if c and c in members.columns]
+    side = lambda x: [F.col("row").alias(x), *(F.col(c).alias(f"n{x}" if c == "n" else f"{x}{c}") for c in more)]
     every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    left = m.select("k", F.col("row").alias("a"), F.col("s").alias("sa"), every.alias("sb"))
-    right = (m.where("late") if "late" in members.columns else m).select("k", F.col("row").alias("b"), F.col("s").alias("sb"), every.alias("sa"))
-    return left.join(right, ["k", "sa", "sb"]).where("a < b").select("a", "b")
+    left = m.select("k", *side("a"), F.col("s").alias("sa"), every.alias("sb"))
+    right = m.select("k", *side("b"), F.col("s").alias("sb"), every.alias("sa"))
+    met = left.join(right, ["k", "sa", "sb"]).where("a < b")
+    if tag:
+        met = met.where(F.col(f"a{tag}") != F.col(f"b{tag}"))
+    return (met.where(_left()) if "n" in more else met).select("a", "b")
 
 
-def _within(pa_: str, pb: str) -> Column:
-    """All eight coordinates of one packed column of the pivot table differ by at most ``lim``."""
-    ok = F.lit(True)
-    for i in range(8):
-        byte = lambda c: F.shiftright(F.shiftleft(F.col(c), 56 - 8 * i), 56)  # noqa: E731,B023
-        ok = ok & (F.abs(byte(pa_) - byte(pb)) <= F.col("lim"))
-    return ok
+def salted_star(members: DataFrame) -> DataFrame:
+    """(a, b): every row with the least row of its key, of (k, row, n, p0, p1), where the tables leave the pair."""
+    cols = ["n", *TABLE]
+    least = members.groupBy("k").agg(F.min_by(F.struct("row", *cols), "row").alias("x"))
+    lead = least.select("k", F.col("x.row").alias("a"), F.col("x.n").alias("na"), *(F.col(f"x.{c}").alias(f"a{c}") for c in TABLE))
+    rows = members.select("k", F.col("row").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in TABLE))
+    return spread_join(rows, lead, "k").where("a < b").where(_left()).select("a", "b")
 
 
-def verified(candidates: DataFrame, left: DataFrame, right: DataFrame, t: float = T) -> DataFrame:
-    """Candidates (a, b) of which ``left`` (row a) and ``right`` (row b), with pivots, are alike.
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: float = T) -> DataFrame:
+    """Pairs (a, b) of which ``left`` (row a) and ``right`` (row b), with their hashes, are alike.
 
-    First sizes and pivot tables (40 bytes a record) discard, then the survivors' hashes are met.
+    ``pairs`` is a written table in which a may be hot (a group's least row).
     """
-    la = left.select(F.col("row").alias("a"), F.col("n").alias("na"), *(F.col(c).alias(f"a{c}") for c in _P))
-    rb = right.select(F.col("row").alias("b"), F.col("n").alias("nb"), *(F.col(c).alias(f"b{c}") for c in _P))
-    limit = F.floor((F.col("na") + F.col("nb")) * F.lit((1 - t) / (1 + t)) + F.lit(1e-9))
-    near = candidates.join(la, "a").join(rb, "b").withColumn("lim", limit).where(F.abs(F.col("na") - F.col("nb")) <= F.col("lim"))
-    for c in _P:
-        near = near.where(_within(f"a{c}", f"b{c}"))
-    ha = left.select(F.col("row").alias("a"), F.col("hs").alias("ha"))
-    hb = right.select(F.col("row").alias("b"), F.col("hs").alias("hb"))
-    both = near.select("a", "b", "na", "nb").join(ha, "a").join(hb, "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
+    ha = left.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("hs").alias("ha"))
+    hb = right.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("hs").alias("hb"))
+    both = spread_join(pairs, ha, "a").join(hb, "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return both.where(F.col("both") >= F.lit(t) * (F.col("na") + F.col("nb") - F.col("both")) - F.lit(1e-9)).select("a", "b", "both", "na", "nb")
 
 
-def partitions_for(df: DataFrame, rows: int, per: int = 1_500_000) -> int:
+def partitions_for(df: DataFrame, rows: int, per: int = 1_000_000) -> int:
     """Partitions of about ``per`` rows, at least those the session asks for."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
 
 
 def near_classes(df: DataFrame, row: str, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (row, rep) puts equal word sets in one class, named by its least
-    row; links (a, b) are the alike pairs of different classes' representatives, a < b.
+    """(members, representatives): members (row, rep) puts equal word sets in one class, named by its
+    least row; representatives are the word sets of the classes.
 
     Defined cases: null columns count as empty; records of fewer than ``MIN_WORDS`` distinct
     words are in neither result; an empty table gives two empty results; rows must be unique
     non-negative integers.  Extra columns are never read.
     """
     sets = materialise(word_sets(df, row, *columns), "sets")
-    reps = sets.groupBy(*KEY).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("c"))
+    both = F.struct(*KEY).alias("both")
     # most sets stand once and are their own class; only the others meet their class's name
-    many = reps.where("c > 1").drop("c")
-    named = materialise(sets.select("row", *KEY).join(many, KEY).select("row", "rep"), "named")
+    many = sets.groupBy(both).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    named = materialise(spread_join(sets.select("row", both), many, "both").select("row", "rep"), "named")
     members = sets.select("row").join(named, "row", "left").select("row", F.coalesce("rep", "row").alias("rep"))
     first = materialise(sets.join(named.where("row <> rep").select("row"), "row", "left_anti").drop(*KEY), "representatives")
-    n = first.count()
-    pairs = materialise(block_pairs(bands(first), partitions_for(df, n * BANDS)), "candidates")
-    return members, materialise(verified(pairs, first, first).select("a", "b"), "links")
+    return members, first
+
+
+def near_links(first: DataFrame) -> DataFrame:
+    """(a, b), a < b: the alike pairs of representatives."""
+    pairs = materialise(candidates(first), "candidates")
+    return materialise(verified(pairs, first, first).select("a", "b"), "links")
 
 
 def near_pairs(df: DataFrame, row: str, *columns: str) -> DataFrame:
     """(a, b), a < b: every alike pair of rows, copies included (classes expanded by salted joins)."""
-    members, links = near_classes(df, row, *columns)
+    members, first = near_classes(df, row, *columns)
+    links = near_links(first)
+    members = materialise(members, "members")
     inside = salted_pairs(members.select(F.col("rep").alias("k"), "row"), 2000)
     ma = members.select(F.col("rep").alias("a"), F.col("row").alias("ra"))
     mb = members.select(F.col("rep").alias("b"), F.col("row").alias("rb"))
-    across = links.join(ma, "a").join(mb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    across = spread_join(mb, spread_join(ma, links, "a"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     return inside.unionByName(across)
 
 
@@ -264,30 +425,40 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large and small stars; every round is a few equi-joins on aggregated minima and is
     written to the shared folder, so lineage stays short and no component is gathered in a task.
     """
-    edges = materialise(links.select("a", "b").where("a <> b").distinct(), "edges")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    n = edges.count()
+    while n:
+        both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both, least, "a").where("b > a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").distinct()
+        large = materialise(large, "large")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = spread_join(large, down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         then = materialise(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        was, now = edges.select(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0], then.select(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()[0]
-        edges = then
-        if was == now:
+        size = then.count()
+        same = size == n and then.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, n = then, size
+        if same:
             break
     tops = edges.select(F.col("b").alias("row")).distinct().select("row", F.col("row").alias("component"))
     return edges.select(F.col("a").alias("row"), F.col("b").alias("component")).unionByName(tops)
 
 
 def near_groups(df: DataFrame, row: str, *columns: str) -> DataFrame:
-    """(row, class, links, group): one row per record with enough words.
+    """(row, class, group): one row per record with enough words.
 
-    ``class`` is the least row with the same word set, ``links`` how many other classes are alike,
-    ``group`` the least row reachable over links.
+    ``class`` is the least row with the same word set, ``group`` the least row reachable over
+    links between alike classes.  Not every link is made: first each row meets the least row of
+    each of its blocks only, which puts a group of n near copies together in n steps; then
+    only pairs of different groups are looked at, in which every link that joins two groups is.
     """
-    members, links = near_classes(df, row, *columns)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    comp = components(links).select(F.col("row").alias("rep"), F.col("component"))
-    out = members.join(degree, "rep", "left").join(comp, "rep", "left")
-    return out.select("row", F.col("rep").alias("class"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("component", "rep").alias("group"))
+    members, first = near_classes(df, row, *columns)
+    stars = materialise(candidates(first, star=True), "stars")
+    links = materialise(verified(stars, first, first).select("a", "b"), "links")
+    so_far = components(links).withColumnRenamed("component", "tag")
+    tagged = materialise(first.join(so_far, "row", "left").withColumn("tag", F.coalesce("tag", "row")), "tagged")
+    more = materialise(candidates(tagged, tag="tag"), "candidates")
+    rest = verified(more, first, first).select("a", "b")
+    comp = components(links.unionByName(rest)).select(F.col("row").alias("rep"), "component")
+    named = first.select(F.col("row").alias("rep")).join(comp, "rep", "left").select("rep", F.coalesce("component", "rep").alias("group"))
+    return spread_join(materialise(members, "members"), named, "rep").select("row", F.col("rep").alias("class"), "group")

@@ -27,9 +27,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per small_corpus row with enough words: class of equal sets, links of the class, group over links."""
+    """One row per small_corpus row with enough words: class of equal sets, group over links."""
     g = near.near_groups(_corpus(spark, d), "row_no", "title", "body")
-    return g.select(F.col("row").alias("row_no"), F.col("class").alias("class_row"), F.col("links"), F.col("group").alias("group_row"))
+    return g.select(F.col("row").alias("row_no"), F.col("class").alias("class_row"), F.col("group").alias("group_row"))
 
 
 RARE, COMMON_BODY, COMMON_DICTIONARY = 2, 5, 10

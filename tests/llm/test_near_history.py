@@ -48,7 +48,7 @@ def test_pairs_and_groups(spark, seed):
     want = alike(rows)
     df = frame(spark, rows)
     assert {(r.a, r.b) for r in near.near_pairs(df, "row_no", "title", "body").collect()} == want
-    groups = {r["row"]: (r["class"], r["links"], r["group"]) for r in near.near_groups(df, "row_no", "title", "body").collect()}
+    groups = {r["row"]: (r["class"], r["group"]) for r in near.near_groups(df, "row_no", "title", "body").collect()}
     assert set(groups) == {r[0] for r in rows if len(words(r)) >= 12}
     top = {r: r for r in groups}
     changed = True
@@ -58,12 +58,10 @@ def test_pairs_and_groups(spark, seed):
             m = min(top[a], top[b])
             changed |= top[a] != m or top[b] != m
             top[a] = top[b] = m
-    assert {r: g[2] for r, g in groups.items()} == top
+    assert {r: g[1] for r, g in groups.items()} == top
     same = {r[0]: frozenset(words(r)) for r in rows}
-    for r, (cls, links, _) in groups.items():
+    for r, (cls, _) in groups.items():
         assert cls == min(x for x in groups if same[x] == same[r])
-        other = {same[b if a == r else a] for a, b in want if r in (a, b)} - {same[r]}
-        assert links == len(other)
 
 
 def test_empty_and_pivot_bound(spark):
@@ -73,17 +71,55 @@ def test_empty_and_pivot_bound(spark):
     rng = np.random.default_rng(3)
     hs = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     x, y = hs[:120], np.r_[hs[20:120], hs[150:190]]
-    d = near.pivot_table(np.r_[x, y], np.array([0, 120]), np.array([120, 140])).view(np.int8).astype(int)
-    assert np.abs(d[0] - d[1]).max() <= len(set(x.tolist()) ^ set(y.tolist()))
-
-
-def test_hot_blocks_take_the_salted_way(spark):
+    c = near.unpacked(near.pivot_table(np.r_[x, y], np.array([120, 140]))).astype(int)
+    both = set(x.tolist()) ^ set(y.tolist())
+    assert np.abs(c[0] - c[1]).sum() <= len(both)
+    # the sum is the largest difference of distances over all unions of groups
+    small = rng.integers(0, 6, (2, 8))
+    unions = [[u >> g & 1 for g in range(8)] for u in range(256)]
+    apart = max(abs(sum((small[0] - small[1]) * (1 - 2 * np.array(u)))) for u in unions)
+    assert apart == np.abs(small[0] - small[1]).sum()
+
+
+def crowd(n=90, words=40):
+    """Many near copies of one text, far texts that share some words with them, and a text of its own."""
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        w[i % words] = f"x{i}"
+        rows.append((i, "", " ".join(w)))
+    rows += [(n + i, " ".join(rng.sample(base, 25)), " ".join(f"y{i}_{j}" for j in range(30))) for i in range(20)]
+    return [*rows, (n + 20, "", " ".join(f"z{j}" for j in range(30)))]
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_large_and_hot_blocks(spark, monkeypatch, block):
+    rows = crowd()
+    df = spark.createDataFrame(rows, "row_no long, title string, body string").repartition(1)
+    first = near.near_classes(df, "row_no", "title", "body")[1]
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90)}
+    plain = {(r.a, r.b) for r in near.candidates(first, block=block).collect()}
+    assert want <= plain and not any(b == 110 for _, b in plain)
+    star = {(r.a, r.b) for r in near.candidates(first, star=True, block=block).collect()}
+    assert {(0, b) for b in range(1, 90)} & star and len(star) < len(want)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "SHARE", 4)
+    assert near.hot_blocks(first)
+    assert {(r.a, r.b) for r in near.candidates(first, block=block).collect()} == plain
+    assert {(r.a, r.b) for r in near.candidates(first, star=True, block=block).collect()} >= star - {(a, b) for a, b in star if b >= 90}
+    tagged = first.withColumn("tag", (F.col("row") % 2).cast("long"))
+    assert {(r.a, r.b) for r in near.candidates(tagged, tag="tag", block=block).collect()} == {(a, b) for a, b in plain if (a - b) % 2}
+    groups = {r["row"]: r["group"] for r in near.near_groups(df, "row_no", "title", "body").collect()}
+    assert groups == {r[0]: 0 if r[0] < 90 else r[0] for r in rows}
+
+
+def test_salted_pairs(spark):
     keyed = spark.createDataFrame([(k, r) for k, n in ((1, 40), (2, 3), (3, 1)) for r in range(n)], "k long, row long")
     want = {(a, b) for a in range(40) for b in range(a + 1, 40)}
-    for block in (2, 7, 100):
-        assert {(r.a, r.b) for r in near.block_pairs(keyed, 3, block=block).collect()} == want
-        late = keyed.withColumn("late", F.col("row") >= 30)
-        assert {(r.a, r.b) for r in near.block_pairs(late, 3, block=block).collect()} == {p for p in want if p[1] >= 30}
+    for piece in (2, 7, 100):
+        assert {(r.a, r.b) for r in near.salted_pairs(keyed, piece).collect()} == want
 
 
 def test_components(spark):
@@ -113,15 +149,69 @@ def test_repeated_rows(spark, seed):
             want.add(r[0])
     want = {x for x in want if pos[x][0] >= 1}
     more = [(900, "doc-00001", "t", "no batch", None)]
-    for arrivals in (1, 3):
-        got = [r.row_no for r in history.repeated_rows(frame(spark, rows + more), arrivals).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [r.row_no for r in history.repeated_rows(frame(spark, rows + more)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     assert history.repeated_rows(frame(spark, [])).count() == 0
     assert history.repeated_rows(frame(spark, [r for r in rows if r[4] == 0])).count() == 0
 
 
-def test_bloom_has_no_false_negatives():
-    k = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
-    bits = history.bloom_bits(k)
-    assert history.bloom_holds(bits, k).all()
-    assert history.bloom_holds(bits, k + 1).mean() < 0.02
+def test_slices_have_no_false_negatives():
+    k = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 9000)
+    f = history.Slices()
+    for part in np.array_split(k, 7):
+        f.add(part)
+    again = history.Slices()
+    for _, n, bits in f.rows():
+        again.load(n, bits)
+    assert len(again.bits) > 1 and sum(again.count) == 9000
+    assert again.holds(k).all()
+    assert again.holds(k + 1).mean() < 0.03
+
+
+def test_winnow_guarantee():
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 1 << 63, history.SHINGLE + history.WINDOW - 1, dtype=np.uint64)
+    prints = []
+    for _ in range(2):
+        w = np.r_[rng.integers(0, 1 << 63, 9, dtype=np.uint64), shared, rng.integers(0, 1 << 63, 9, dtype=np.uint64)]
+        prints.append(set(history.winnow(w, np.array([len(w)]))[1].tolist()))
+    assert prints[0] & prints[1]
+    rec, f = history.winnow(np.r_[shared, shared[:5], shared], np.array([8, 5, 8]))
+    assert set(rec.tolist()) == {0, 2} and set(f[rec == 0].tolist()) == set(f[rec == 2].tolist())
+
+
+def positions(spark, rows):
+    return spark.createDataFrame(rows, "pos long, id string, title string, body string")
+
+
+def text(i, n=40):
+    rng = random.Random(i)
+    return " ".join(f"v{rng.randrange(100000)}" for _ in range(n))
+
+
+def test_store_opens_again_and_reads_only_what_it_needs(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = history.FingerprintStore(spark, path, parts=16)
+    store.offer(positions(spark, [(i, f"a-{i}", "t", text(i)) for i in range(300)]), check=False)
+    # a batch that failed half-way: its folder is there, its commit is not
+    (tmp_path / "store" / "prints" / "seg=000001").mkdir(parents=True)
+    again = history.FingerprintStore(spark, path)
+    assert again.parts == 16 and again.segments == ["000000"]
+    small = positions(spark, [(1000, "A_007", "", "new"), (1001, None, "t", text(5)), (1002, "b", "t", text(7000)), (1003, None, "T", text(7000) + " end")])
+    assert {r.pos for r in again.offer(small).collect()} == {1000, 1001, 1003}
+    third = history.FingerprintStore(spark, path)
+    assert third.segments == ["000000", "000001"]
+    assert third.offer(positions(spark, [])).count() == 0
+    # one repeated row: only the partitions of its own fingerprints and of their owners are read
+    assert {r.pos for r in third.offer(positions(spark, [(2000, "c", "t", "only a few words " + "a b c")])).collect()} == set()
+    assert len(third.last_read[0]) <= 1 and len(third.last_read[1]) <= 1
+    assert {r.pos for r in third.offer(positions(spark, [(2001, "a-9", "t", "short")])).collect()} == {2001}
+    assert len(third.last_read[0]) <= 2 and len(third.last_read[1]) == 1
+
+
+def test_hot_group_in_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(history, "PIECE", 10)
+    rows = [(i, f"h-{i}", t, b) for i, t, b in crowd()]
+    store = history.FingerprintStore(spark, parts=4)
+    store.offer(positions(spark, rows[:1]), check=False)
+    assert {r.pos for r in store.offer(positions(spark, rows[1:])).collect()} == set(range(1, 90))
