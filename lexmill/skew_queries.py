@@ -14,6 +14,8 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     """Per term: entries, sum of count, and the documents of the segments that hold the entries."""
     entries = spread(spark.read.parquet(f"{d}/term_entry.parquet")).withColumn("t", F.lower(F.trim("term"))).where(F.col("t") != "")
     segments = spark.read.parquet(f"{d}/segment_meta.parquet")
+    # one state a segment, so that joined rows are entries
+    segments = segments.groupBy("segment_id").agg(F.max("doc_count").alias("doc_count"))
     return eager_join_aggregate(
         entries,
         segments,
@@ -31,10 +33,14 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Terms that hold more than 2 % of the rows that have a term."""
-    terms = _terms(spark, d).select("term", "n_left")
-    held = spark.read.parquet(f"{d}/term_entry.parquet").where(F.trim("term") != "").agg(F.count(F.lit(1)))
-    return terms.where(F.col("n_left") > F.lit(HEAVY_SHARE) * held.scalar()).select("term")
+    """Terms that hold more than 2 % of the rows that have a term.
+
+    Rows are counted behind the join with the segments (``n_joined``, multiplied counts of the
+    joined states); their total is the sum of the terms' counts.
+    """
+    terms = _terms(spark, d).select("term", "n_joined")
+    held = terms.agg(F.sum("n_joined"))
+    return terms.where(F.col("n_joined") > F.lit(HEAVY_SHARE) * held.scalar()).select("term")
 
 
 QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms}
