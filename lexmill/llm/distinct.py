@@ -3,73 +3,57 @@
 With joint counts n(t, r), marginals n(t) and n(r), and context counts smoothed by an exponent,
 ``score = max(0, ln(n(t, r) * sum_r n(r)^alpha / (n(t) * n(r)^alpha)))``.
 
-The joint counts are grouped inside each record (a record is one row, so nothing moves for
-them).  The join with n(t) is split by a proven bound: at most ``HEAVY`` terms can hold more than
+The texts are dealt out by record once, so the group-by of (record, term) needs no further
+shuffle.  The join with n(t) is split by a proven bound: at most ``HEAVY`` terms can hold more than
 1 / ``HEAVY`` of all occurrences each, so those marginals are broadcast and their (many) rows
 never move; only rows of the other terms are shuffled, and none of those terms is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions.text import record_words
-from lexmill.scratch import materialise
+from lexmill.scratch import Scope, materialise
 
 HEAVY = 50_000
+#: Context counts are summed exactly, so the sum does not depend on the order of the tasks.
+_EXACT = "decimal(38,12)"
 
 
 def joint_counts(df: DataFrame, row: str, *columns: str) -> DataFrame:
-    """(row, term, tf, len, kinds): occurrences of every distinct word of a record, and the
-    record's words and distinct words."""
-    kind = df.schema[row].dataType.simpleString()
-    words = df.select(F.col(row).alias("row"), record_words(*columns).alias("w")).where(F.size("w") > 0)
-    return words.mapInArrow(_joint, f"row {kind}, term string, tf int, len int, kinds int")
-
-
-def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        lens = np.diff(b.column(1).offsets.to_numpy())
-        enc = b.column(1).flatten().dictionary_encode()
-        size = len(enc.dictionary)
-        pairs, tf = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * size + enc.indices.to_numpy(), return_counts=True)
-        rec = pairs // size
-        kinds = np.bincount(rec, minlength=len(lens))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(rec)), enc.dictionary.take(pa.array(pairs % size)), pa.array(tf.astype(np.int32)), pa.array(lens[rec].astype(np.int32)), pa.array(kinds[rec].astype(np.int32))],
-            names=["row", "term", "tf", "len", "kinds"],
-        )
+    """(row, term, tf, len, kinds, head): occurrences of every distinct word of a record, the
+    record's words and distinct words; ``head`` marks one term of each record."""
+    words = df.select(F.col(row).alias("row"), *columns).repartition("row").select("row", record_words(*columns).alias("w"))
+    sized = words.select("row", F.size("w").alias("len"), F.size(F.array_distinct("w")).alias("kinds"), "w")
+    each = sized.select("row", "len", "kinds", F.posexplode("w").alias("at", "term"))
+    n = each.groupBy("row", "len", "kinds", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.min("at").alias("at"))
+    return n.select("row", "term", "tf", "len", "kinds", (F.col("at") == 0).alias("head"))
 
 
 def term_scores(df: DataFrame, row: str, *columns: str, alpha: float = 0.75, joint: str = "count", weight: str = "one") -> DataFrame:
     """(row, term, score) of every distinct word of the columns together.
 
     ``joint``: ``count`` takes n(t, r) as occurrences, ``presence`` as 1.  ``weight``: ``tf``
-    multiplies by the term's occurrences in the record.  ``alpha=0, joint="presence",
-    weight="tf"`` is tf * ln(N / df).
+    multiplies by the term's occurrences in the record.  With ``joint="presence",
+    weight="tf"`` the score tends to tf * ln(N / df) as ``alpha`` tends to 0, and is it at 0.
 
-    Null columns count as empty; rows without a word give no rows; ``row`` must be unique;
-    rows with a null ``row`` are scored like others; an empty table gives no rows.
+    Null columns count as empty; rows without a word give no rows; ``row`` must be unique; an
+    empty table gives no rows.
     """
     if joint not in ("count", "presence") or weight not in ("one", "tf"):
         raise ValueError("joint is count or presence, weight is one or tf")
-    kept = materialise(joint_counts(df, row, *columns), "joint")
-    ctx = F.pow(F.col("len" if joint == "count" else "kinds").cast("double"), F.lit(float(alpha)))
-    n = F.sum("tf") if joint == "count" else F.count(F.lit(1))
-    marginals = materialise(kept.groupBy("term").agg(n.cast("double").alias("nt")), "marginals")
-    total = marginals.agg(F.sum("nt")).first()[0] or 0.0
-    # every record's context counts once: each of its rows brings its share
-    mass = float(kept.agg(F.sum(ctx / F.col("kinds"))).first()[0] or 0.0)
-    if alpha == 0.0:
-        mass = float(round(mass))
-    heavy = F.broadcast(marginals.where(F.col("nt") > total / HEAVY))
-    rare = marginals.where(F.col("nt") <= total / HEAVY)
+    with Scope(df.sparkSession) as scope:
+        kept = scope.keep(materialise(joint_counts(df, row, *columns), "joint"))
+        ctx = F.pow(F.col("len" if joint == "count" else "kinds").cast("double"), F.lit(float(alpha)))
+        n = F.sum("tf") if joint == "count" else F.count(F.lit(1))
+        mass = F.sum(F.when(F.col("head"), ctx.cast(_EXACT)))
+        marginals = scope.keep(materialise(kept.groupBy("term").agg(n.alias("nt"), mass.alias("mass")), "marginals"))
+        sums = marginals.agg(F.sum("nt").alias("nt"), F.sum("mass").alias("mass")).first()
+    total, mass = float(sums["nt"] or 0), float(sums["mass"] or 0)
+    nt = marginals.select("term", F.col("nt").cast("double").alias("nt"))
+    heavy = F.broadcast(nt.where(F.col("nt") > total / HEAVY))
+    rare = nt.where(F.col("nt") <= total / HEAVY)
     hot = kept.join(heavy, "term")
     cold = kept.join(heavy.select("term"), "term", "left_anti").join(rare, "term")
     here = F.col("tf").cast("double") if joint == "count" else F.lit(1.0)

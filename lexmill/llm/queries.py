@@ -75,13 +75,13 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The most distinctive word of every row with one, by tf * ln(N / df)."""
-    scores = distinct.term_scores(_corpus(spark, d), "row_no", "title", "body", alpha=0.0, joint="presence", weight="tf")
+    scores = distinct.term_scores(spark.read.parquet(f"{d}/small_corpus.parquet"), "row_no", "title", "body", alpha=0.0, joint="presence", weight="tf")
     return distinct.strongest(scores).select(F.col("row").alias("row_no"), "term")
 
 
 def p5_ppmi(spark: SparkSession, d: str) -> DataFrame:
     """The most distinctive word of every row by smoothed positive pointwise mutual information."""
-    scores = distinct.term_scores(_corpus(spark, d), "row_no", "title", "body", alpha=0.75)
+    scores = distinct.term_scores(spark.read.parquet(f"{d}/small_corpus.parquet"), "row_no", "title", "body", alpha=0.75)
     return distinct.strongest(scores).select(F.col("row").alias("row_no"), "term", "score")
 
 
