@@ -131,8 +131,11 @@ class Shared:
     def __init__(self, spark: SparkSession, value: object) -> None:
         self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
-    def get(self):
+    def get(self, keep: bool = True):
+        """The object; without ``keep`` it is decoded anew each time, for objects used one after the other."""
         sent = self._sent
+        if not keep:
+            return pickle.loads(sent.value)
         if not hasattr(sent, "decoded"):
             sent.decoded = pickle.loads(sent.value)
         return sent.decoded
