@@ -1,6 +1,6 @@
 """Evaluation texts inside training text, by a generalised suffix automaton over words.
 
-The automaton of all test items (a small, checked set) is built on the driver and broadcast.
+The automaton of the test items is built on the driver and broadcast, in shards of bounded size.
 Each training text is normalised and streamed through it once: every step keeps the length of
 the longest run of words, ending here, that stands in some item.  Where that length reaches
 ``least`` words, the items that hold the last ``least`` of them are those of one state, found
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from lexmill.scratch import Shared
 LEAST = 10
 #: A text of which more than this share of words is leaked is removed whole.
 COVERAGE = 0.5
-#: The items must stay this small to be broadcast.
-MAX_ITEM_WORDS = 2_000_000
+#: An automaton holds about so many words of items at most; more items make more automata, and
+#: every text streams through each of them in turn.
+SHARD_WORDS = 2_000_000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 _CLUSTER = regex.compile(r"\P{M}[\p{M}ᅠ-ᇿﾞﾟ]*|\p{M}+", regex.S)
@@ -47,13 +48,22 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if unicodedata.is_normalized("NFKC", text) and len(low) == len(text):
         return [m.span() for m in re.finditer(r"[^\W_]+", low)]
-    flat, at, end = [], [], []
-    for m in _CLUSTER.finditer(text):
-        piece = normal(m[0])
-        flat.append(piece)
-        at += [m.start()] * len(piece)
-        end += [m.end()] * len(piece)
-    return [(at[m.start()], end[m.end() - 1]) for m in re.finditer(r"[^\W_]+", "".join(flat))]
+    spans = []
+    for chunk in re.finditer(r"\S+", text):  # nothing is composed across white space
+        flat, at, end = [], [], []
+        for m in _CLUSTER.finditer(chunk[0]):
+            piece = normal(m[0])
+            flat.append(piece)
+            at += [m.start()] * len(piece)
+            end += [m.end()] * len(piece)
+        mine = [(at[m.start()], end[m.end() - 1]) for m in re.finditer(r"[^\W_]+", "".join(flat))]
+        n = len(words(chunk[0]))
+        if len(mine) != n:  # composed across clusters: the words stand for the whole piece
+            mine = [(0, len(chunk[0]))] * n
+        spans += [(chunk.start() + a, chunk.start() + z) for a, z in mine]
+    if len(spans) != len(words(text)):
+        raise ValueError("the words of a text can't be mapped back to it")
+    return spans
 
 
 class SuffixAutomaton:
@@ -64,11 +74,7 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         held: dict[int, set[int]] = defaultdict(set)
-        total = 0
         for item, seq in items:
-            total += len(seq)
-            if total > MAX_ITEM_WORDS:
-                raise ValueError(f"more than {MAX_ITEM_WORDS} words of test items can't be broadcast")
             last = 0
             for w in seq:
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
@@ -134,53 +140,56 @@ class SuffixAutomaton:
                     yield i, n, top[v]
 
 
-def build(benchmark: DataFrame, item: str, text: str, least: int = LEAST) -> SuffixAutomaton:
-    """Automaton of the items' texts; null texts and texts under ``least`` words can't be matched."""
-    size = benchmark.agg(F.sum(F.length(text))).first()[0] or 0
-    if size > MAX_ITEM_WORDS * 12:
-        raise ValueError(f"{size} characters of test items are too many to hold on the driver")
-    return SuffixAutomaton(((r[0], words(r[1])) for r in benchmark.select(item, text).orderBy(item).collect() if r[0] is not None), least)
+def build(benchmark: DataFrame, item: str, text: str, least: int = LEAST) -> list[SuffixAutomaton]:
+    """Automata of the items' texts, one for about every ``SHARD_WORDS`` words; null texts and texts
+    under ``least`` words can't be matched."""
+    out, held, size = [], [], 0
+    for r in benchmark.where(F.col(item).isNotNull()).select(item, text).orderBy(item).toLocalIterator():
+        seq = words(r[1])
+        if held and r[0] != held[-1][0] and size + len(seq) > SHARD_WORDS:
+            out.append(SuffixAutomaton(held, least))
+            held, size = [], 0
+        held.append((r[0], seq))
+        size += len(seq)
+    return [*out, SuffixAutomaton(held, least)]
 
 
-def leaks(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton) -> DataFrame:
+def leaks(df: DataFrame, key: str, text: str, automata: Sequence[SuffixAutomaton]) -> DataFrame:
     """(key, item_id, longest): the items of which a text holds at least ``least`` words in a row.
 
     ``longest`` is the greatest matching length at a place that this item shares.  Null and
     empty texts hold nothing; a pair comes once per row of ``df``; an empty table gives no rows.
     """
-    shared = Shared(df.sparkSession, automaton)
+    shards = [Shared(df.sparkSession, a) for a in automata]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.get()
         for b in batches:
             keys, items, longest = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                best: dict[int, int] = {}
-                for _, n, top in sam.stream(words(t)):
-                    for item in sam.items[top]:
-                        if n > best.get(item, 0):
-                            best[item] = n
-                keys += [k] * len(best)
-                items += best
-                longest += best.values()
+            rows = [(k, words(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            for shard in shards:
+                sam = shard.get(len(shards) == 1)
+                for k, seq in rows:
+                    best: dict[int, int] = {}
+                    for _, n, top in sam.stream(seq):
+                        for item in sam.items[top]:
+                            if n > best.get(item, 0):
+                                best[item] = n
+                    keys += [k] * len(best)
+                    items += best
+                    longest += best.values()
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(items, pa.int64()), pa.array(longest, pa.int32())], names=[key, "item_id", "longest"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, item_id bigint, longest int")
 
 
-def cleaned(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton, coverage: float = COVERAGE) -> DataFrame:
+def cleaned(df: DataFrame, key: str, text: str, automata: Sequence[SuffixAutomaton], coverage: float = COVERAGE) -> DataFrame:
     """(key, words, leaked, text): every text without the spans of ``least`` or more leaked words.
 
     A text of which more than ``coverage`` of the words are leaked becomes null; null stays null.
     """
-    shared = Shared(df.sparkSession, automaton)
-
-    def one(sam: SuffixAutomaton, t: str | None) -> tuple[int, int, str | None]:
-        seq = words(t)
-        hit = np.zeros(len(seq) + 1, np.int64)
-        for i, n, _ in sam.stream(seq):
-            hit[i - n + 1] += 1
-            hit[i + 1] -= 1
+    shards = [Shared(df.sparkSession, a) for a in automata]
+
+    def one(t: str | None, seq: list[str], hit: np.ndarray) -> tuple[int, int, str | None]:
         inside = np.cumsum(hit)[: len(seq)] > 0
         leaked = int(inside.sum())
         if not leaked:
@@ -188,8 +197,6 @@ def cleaned(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton, cove
         if leaked > coverage * len(seq):
             return len(seq), leaked, None
         spans = word_spans(t)
-        if len(spans) != len(seq):
-            return len(seq), leaked, None
         out, at = [], 0
         edge = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
         for a, z in zip(edge[::2], edge[1::2]):
@@ -198,9 +205,17 @@ def cleaned(df: DataFrame, key: str, text: str, automaton: SuffixAutomaton, cove
         return len(seq), leaked, "".join(out) + t[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sam = shared.get()
         for b in batches:
-            got = [one(sam, t) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            seqs = [words(t) for t in texts]
+            hits = [np.zeros(len(seq) + 1, np.int64) for seq in seqs]
+            for shard in shards:
+                sam = shard.get(len(shards) == 1)
+                for seq, hit in zip(seqs, hits):
+                    for i, n, _ in sam.stream(seq):
+                        hit[i - n + 1] += 1
+                        hit[i + 1] -= 1
+            got = [one(*x) for x in zip(texts, seqs, hits)]
             n, leaked, kept = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(leaked, pa.int32()), pa.array(kept, pa.string())], names=[key, "words", "leaked", "text"])
 

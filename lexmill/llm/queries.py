@@ -127,7 +127,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names_model(spark: SparkSession, d: str) -> personal.NameModel:
-    return personal.fit_model(_documents(spark, d), "doc_id", "text", spark.read.parquet(f"{d}/known_names.parquet"))
+    return personal.fit_model(_documents(spark, d), "text", spark.read.parquet(f"{d}/known_names.parquet"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

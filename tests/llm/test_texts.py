@@ -1,6 +1,7 @@
 import functools
 import os
 import random
+import time
 import unicodedata
 
 import pytest
@@ -71,7 +72,7 @@ def test_leaks(spark):
     shared = say(14)
     items = [(1, say(60)), (2, f"{say(5)} {shared} {say(9)}"), (3, f"{shared}"), (4, None), (5, "a b"), (6, ""), (7, say(60)), (7, say(20)), (9, " ".join(["x"] * 30))]
     texts = [None, "", "  ", shared, f"{say(30)} {shared.upper()} {say(30)}", f"Ａ {items[0][1][10:50]}_{items[0][1][50:80]}", " ".join(["x"] * 9), " ".join(["x"] * 500), items[6][1], say(4000), "_".join(shared.split())]
-    sam = leak.SuffixAutomaton((k, leak.words(t)) for k, t in items)
+    sam = [leak.SuffixAutomaton((k, leak.words(t)) for k, t in items)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, item_id int")
     got = leak.leaks(df, "doc_id", "text", sam).collect()
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
@@ -82,7 +83,7 @@ def test_leaks(spark):
     assert clean[4].leaked >= 14 and (clean[4].text is None or not plain_leaks(items, clean[4].text) or clean[4].leaked < 74)
     assert leak.leaks(df.limit(0), "doc_id", "text", sam).count() == 0
     table = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
-    assert len(leak.build(table, "item_id", "text").len) == len(leak.build(table, "item_id", "text").len) > 1
+    assert [len(a.len) for a in leak.build(table, "item_id", "text")] == [len(a.len) for a in sam]
     none = leak.build(table.limit(0), "item_id", "text")
     assert leak.leaks(df, "doc_id", "text", none).count() == 0
 
@@ -97,6 +98,25 @@ def test_removal_keeps_the_rest():
     assert hits and max(n for _, n, _ in hits) == 10
 
 
+@given(st.text("aбΣσς\u0301 \u1100\u1161\u11a8ﬁＡ１´\u00a0.İ\u3099か", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_every_word_has_a_span(text):
+    spans = leak.word_spans(text)
+    assert len(spans) == len(leak.words(text)) and all(0 <= a < z <= len(text) for a, z in spans)
+
+
+def test_shards_give_the_same(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}_{j} x" for j in range(8)).replace("_", "")) for i in range(6)] + [(9, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "pre " + " ".join(f"w{i}{j} x" for j in range(8)) + " and more words " * 9) for i in range(8)] + [(99, None)], "doc_id long, text string")
+    one = leak.build(items, "item_id", "text")
+    monkeypatch.setattr(leak, "SHARD_WORDS", 20)
+    some = leak.build(items, "item_id", "text")
+    assert len(one) == 1 and len(some) > 2
+    for run in (leak.leaks, leak.cleaned):
+        want = sorted(map(tuple, run(docs, "doc_id", "text", one).collect()), key=repr)
+        assert want == sorted(map(tuple, run(docs, "doc_id", "text", some).collect()), key=repr) and len(want) > 5
+
+
 @given(st.lists(st.text("ab c_é", max_size=40), min_size=1, max_size=4), st.text("ab c_é", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_automaton_against_brute_force(items, text):
@@ -110,7 +130,7 @@ NAMES = [("Tilo", "given"), ("Tola", "given"), ("Mena", "given"), ("Mera", "give
     (a + b, "family") for a in ("Kost", "Vel", "Dra") for b in ("ander", "umsen", "imoor")
 ] + [("van Hestel", "family"), ("O'Tarrin", "family"), ("Merge", "family")]
 SAMPLE = ["we merge and query the data, then ship the rest and see what the crew wrote"] * 4 + [None]
-MODEL = personal.NameModel.fit(NAMES, SAMPLE)
+MODEL = personal.NameModel.fit(NAMES, set(SAMPLE[0].replace(",", "").split()))
 
 CASES = [
     ("mail to tilo.x+1@mail.lab.example, please", [("email", "tilo.x+1@mail.lab.example")]),
@@ -139,6 +159,17 @@ CASES = [
     ("TILO VAN HESTEL and Mena Tola O'Tarrin", [("name", "TILO VAN HESTEL"), ("name", "Mena Tola O'Tarrin")]),
     ("Query Merge and Merge Scheduler ship The Rest", []),
     ("Zorba Draander met", [("name", "Zorba Draander")]),
+    ("bob (at) acme (dot) dev", [("email", "bob (at) acme (dot) dev")]),
+    ("write bob_7 at acme dot ai!", [("email", "bob_7 at acme dot ai")]),
+    ("bob AT acme DOT app", [("email", "bob AT acme DOT app")]),
+    ("ruf fünf fünf fünf eins zwei drei vier an", [("phone", "fünf fünf fünf eins zwei drei vier")]),
+    ("ring 0412 345 678 now", [("phone", "0412 345 678")]),
+    ("DNI 12345678Z, 12345678A", [("id_number", "12345678Z")]),
+    ("CPF 123.456.789-09 or 111.222.333-44 sold", [("id_number", "123.456.789-09")]),
+    ("Steuer-ID 12 345 678 901; 12 345 678 901 rows", [("id_number", "12 345 678 901")]),
+    ("am Kungsgatan 12, Keizersgracht 7", [("address", "Kungsgatan 12"), ("address", "Keizersgracht 7")]),
+    ("Вчера писал Сергей Иванов", [("name", "Сергей Иванов")]),
+    ("η Άννα Παπαδοπούλου", [("name", "Άννα Παπαδοπούλου")]),
     ("", []), (None, []), (" \n\t", []),
 ]
 
@@ -161,9 +192,21 @@ def test_frames(spark):
     assert out[0] == "mail to [EMAIL], please" and out[len(CASES) - 2] is None and out[len(CASES) - 1] == " \n\t"
     assert personal.values(df.limit(0), "doc_id", "text", MODEL).count() == 0
     names = spark.createDataFrame([n for n in NAMES], "name string, kind string")
-    fitted = personal.fit_model(df, "doc_id", "text", names, 5)
-    assert "kostander" in fitted.family
-    assert personal.fit_model(df.limit(0), "doc_id", "text", names.limit(0)).family == set()
+    more = df.unionByName(spark.createDataFrame([(2000 + i, "we merge data; Merge it" if i < 4 else "Tola met tola", 1, "c") for i in range(30)], df.schema))
+    fitted = personal.fit_model(more, "text", names)
+    assert "kostander" in fitted.family and "merge" in fitted.ordinary and "merge" not in fitted.family and "data" not in fitted.ordinary
+    assert personal.fit_model(df.limit(0), "text", names.limit(0)).family == set()
+
+
+def test_many_findings_take_linear_time():
+    def took(n):
+        text = " ".join(f"u{i}@x{i}.test" for i in range(n))
+        began = time.perf_counter()
+        assert len(personal.find(text, MODEL)) == n
+        return time.perf_counter() - began
+
+    took(100)
+    assert min(took(16_000) for _ in range(3)) < 40 * max(0.005, min(took(1000) for _ in range(3)))
 
 
 @given(st.text(max_size=80))
