@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexmill.operators.eager import eager_join_aggregate
-from lexmill.scratch import spread
+from lexmill.scratch import materialise, spread
 
 HEAVY_SHARE = 0.02
 
@@ -38,7 +38,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     Rows are counted behind the join with the segments (``n_joined``, multiplied counts of the
     joined states); their total is the sum of the terms' counts.
     """
-    terms = _terms(spark, d).select("term", "n_joined")
+    terms = materialise(_terms(spark, d).select("term", "n_joined"), "terms")
     held = terms.agg(F.sum("n_joined"))
     return terms.where(F.col("n_joined") > F.lit(HEAVY_SHARE) * held.scalar()).select("term")
 
