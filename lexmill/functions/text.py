@@ -7,6 +7,8 @@ white space.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 STANDARD = r"[\p{L}\p{Nd}_]+"
@@ -46,3 +48,22 @@ def keyword_tokens(c: Column) -> Column:
 def record_words(*columns: str) -> Column:
     """Standard terms of several columns in a row; null columns count as empty."""
     return standard_tokens(F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in columns)))
+
+
+def _lower(c: str) -> str:
+    low = "i" if c == "İ" else c.lower()
+    return low if len(low) == 1 else c
+
+
+def _standard(text: str) -> list[str]:
+    inside = "".join(_lower(c) if c == "_" or unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd" else " " for c in text)
+    return [t for t in inside.split(" ") if t]
+
+
+def _whitespace(text: str) -> list[str]:
+    kept = "".join(" " if unicodedata.category(c)[0] == "Z" or c in "\t\n\x0b\x0c\r\x85" else c for c in text)
+    return [t for t in kept.split(" ") if t]
+
+
+#: The built-in analyzers on a text the driver holds (a query's).
+PLAIN = {"standard": _standard, "whitespace": _whitespace, "keyword": lambda text: [text] if text else []}

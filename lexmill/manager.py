@@ -16,11 +16,12 @@ from lexmill.schema import Schema
 from lexmill.search import search
 from lexmill.sources.documents import documents_frame
 from lexmill.storage.commit import CommitResult
+from lexmill.storage import manifest as mf
 from lexmill.storage.fs import Fs
 from lexmill.storage.index import Index, IndexBusyError
 
 _NAME = re.compile(r"[A-Za-z0-9_-]{1,255}\Z")
-LOCK = "write.lock"
+LOCK = mf.LOCK
 
 
 class NoSuchIndexError(KeyError):

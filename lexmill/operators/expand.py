@@ -57,19 +57,29 @@ def matches(q: ast.Query, term: Column) -> Column:
     raise TypeError(f"{type(q).__name__} is no term leaf")
 
 
-def limit_of(q: ast.Query) -> int:
-    return ast.MAX_FUZZY_TERMS if isinstance(q, ast.Fuzzy) else ast.MAX_TERMS
+#: The usual limits of a leaf; a number or None (no limit) may stand in its place.
+USUAL = "usual"
+Limit = int | str | None
 
 
-def expand(terms: DataFrame, q: ast.Query, limit: int | None = None) -> DataFrame:
-    """Rows of the dictionary that a leaf stands for, the first ``limit`` in order of the term."""
+def limit_of(q: ast.Query, limit: Limit = USUAL) -> int | None:
+    """How many terms a leaf may stand for; None is all of them."""
+    if limit == USUAL:
+        return ast.MAX_FUZZY_TERMS if isinstance(q, ast.Fuzzy) else ast.MAX_TERMS
+    return limit
+
+
+def expand(terms: DataFrame, q: ast.Query, limit: Limit = USUAL) -> DataFrame:
+    """Rows of the dictionary that a leaf stands for, the first ``limit`` in order of the term, or all."""
     if isinstance(q, ast.Term):
         return terms.where((F.col("field") == q.field) & (F.col("term") == q.term))
     found = terms.where((F.col("field") == q.field) & matches(q, F.col("term")))
-    return found.orderBy("term").limit(limit or limit_of(q))
+    most = limit_of(q, limit)
+    return found if most is None else found.orderBy("term").limit(most)
 
 
-def limit_exceeded(terms: DataFrame, q: ast.Query, limit: int | None = None) -> bool:
-    """Whether a leaf stands for more terms than are taken; looks at one row behind the limit."""
-    n = limit or limit_of(q)
-    return not isinstance(q, ast.Term) and bool(terms.where((F.col("field") == q.field) & matches(q, F.col("term"))).select("term").limit(n + 1).count() > n)
+def count(terms: DataFrame, q: ast.Query, limit: Limit = USUAL) -> DataFrame:
+    """(n): terms a leaf stands for; with a limit the count stops one behind it."""
+    found = terms.where((F.col("field") == q.field) & matches(q, F.col("term"))).select("term")
+    most = limit_of(q, limit)
+    return (found if most is None else found.limit(most + 1)).agg(F.count(F.lit(1)).alias("n"))

@@ -25,7 +25,10 @@ def term_score(weight: Column, tf: Column, dl: Column, avgdl: Column, k1: float
 
 
 def explanation(field: Column, term: Column, tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Column, score: Column, boost: Column, k1: float = K1, b: float = B) -> Column:
-    """Struct (value, description, details) of one term's score."""
+    """Struct (value, description, details) of one term's score.
+
+    The descriptions are fixed values: clients read them.
+    """
     norm = tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
     part = lambda value, text: F.struct(value.cast("double").alias("value"), text.alias("description"))
     return F.struct(

@@ -1,9 +1,13 @@
 """Queries to DataFrames.
 
 Leaves that stand for terms share one scan of the postings: the literal predicates go to the
-scan (row groups are sorted by field and term), the expanded terms with their weights (at most
-``MAX_TERMS`` rows a leaf) are broadcast, and all leaves' scores meet in one aggregation by
-document, where the Boolean tree is a column expression over the leaves' flags.
+scan (row groups are sorted by field and term), the expanded terms with their weights (one row
+for a term, at most the limit for a pattern) are broadcast, and all leaves' scores meet in one
+aggregation by document, where the Boolean tree is a column expression over the leaves' flags.
+
+A pattern without a limit may stand for most of the dictionary, so its terms are not broadcast as
+a whole: at most ``HEAVY`` terms can hold more than one in ``HEAVY`` postings each and are, the
+rows of the others are shuffled, and none of those terms is hot.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.operators import expand, phrase, scoring
+from lexmill.operators.expand import Limit
 from lexmill.plans import ast
 from lexmill.plans.ast import Boolean, MatchAll, MatchNone, Occur, Phrase, Proximity, Query
 from lexmill.plans.rewrite import rewrite
@@ -32,17 +37,21 @@ class Scorer:
     compat: bool = False
 
 
-def compile_query(q: Query, view: IndexView, scorer: Scorer = Scorer(), rewritten: bool = False) -> DataFrame:
+HEAVY = 20_000
+
+
+def compile_query(q: Query, view: IndexView, scorer: Scorer = Scorer(), rewritten: bool = False, expansions: Limit = None) -> DataFrame:
     """(doc_id, score) of every matching live document, each once.
 
     A leaf on an unknown or unindexed field, or with an empty term, matches nothing; equal
     leaves count each time they stand; scores are sums over the matching must and should leaves.
+    Patterns stand for all their terms unless ``expansions`` limits them.
     """
     q = ast.check(q) if rewritten else rewrite(ast.check(q))
     spark = view.postings.sparkSession
     leaves: list[Query] = []
     _collect(q, leaves)
-    hits = [h for h in (_term_hits(leaves, view, scorer), *_position_hits(leaves, view, scorer)) if h is not None]
+    hits = [*_term_hits(leaves, view, scorer, expansions), *_position_hits(leaves, view, scorer)]
     alls = [(i, x) for i, x in enumerate(leaves) if isinstance(x, MatchAll)]
     if alls or _needs_all(q):
         marks = [F.struct(F.lit(i).alias("leaf"), F.lit(float(x.boost)).alias("s")) for i, x in alls] or [F.struct(F.lit(-1).alias("leaf"), F.lit(0.0).alias("s"))]
@@ -113,11 +122,11 @@ def _usable(leaf: Query, view: IndexView) -> bool:
     return bool(leaf.field)
 
 
-def leaf_terms(leaves: list[tuple[int, Query]], view: IndexView, scorer: Scorer) -> DataFrame | None:
+def leaf_terms(leaves: list[tuple[int, Query]], view: IndexView, scorer: Scorer, expansions: Limit) -> DataFrame | None:
     """(leaf, field, term, df, idf, weight, avgdl) of the expanded terms of term leaves."""
     out = None
     for i, leaf in leaves:
-        part = expand.expand(view.terms, leaf).select(F.lit(i).alias("leaf"), "field", "term", "df", F.lit(float(leaf.boost)).alias("boost"))
+        part = expand.expand(view.terms, leaf, expansions).select(F.lit(i).alias("leaf"), "field", "term", "df", F.lit(float(leaf.boost)).alias("boost"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return None
@@ -130,14 +139,38 @@ def leaf_terms(leaves: list[tuple[int, Query]], view: IndexView, scorer: Scorer)
     return out.join(F.broadcast(scale), "field").withColumn("idf", idf).withColumn("weight", F.col("boost") * F.col("idf"))
 
 
-def _term_hits(leaves: list[Query], view: IndexView, scorer: Scorer) -> DataFrame | None:
-    mine = [(i, x) for i, x in enumerate(leaves) if isinstance(x, _TERM_LEAVES) and _usable(x, view) and not (isinstance(x, ast.Term) and not x.term)]
-    terms = leaf_terms(mine, view, scorer)
-    if terms is None:
-        return None
-    scan = reduce(Column.__or__, ((F.col("field") == x.field) & expand.matches(x, F.col("term")) for _, x in mine))
-    hits = view.postings.where(scan).select("field", "term", "doc_id", "tf", "dl")
-    hits = hits.join(F.broadcast(terms.select("leaf", "field", "term", "weight", "avgdl")), ["field", "term"])
+def _term_hits(leaves: list[Query], view: IndexView, scorer: Scorer, expansions: Limit) -> list[DataFrame]:
+    mine = _term_leaves(leaves, view)
+    open_ = [(i, x) for i, x in mine if not isinstance(x, ast.Term) and expand.limit_of(x, expansions) is None]
+    few = [x for x in mine if x not in open_]
+    out = []
+    if few:
+        terms = leaf_terms(few, view, scorer, expansions)
+        out.append(_scored(_scan(few, view).join(F.broadcast(_weights(terms)), ["field", "term"]), scorer))
+    if open_:
+        bar = view.stats.agg((F.coalesce(F.sum("sum_doc_freq"), F.lit(0)) / F.lit(HEAVY)).alias("bar")).scalar()
+        for one in open_:
+            terms, rows = leaf_terms([one], view, scorer, None), _scan([one], view)
+            heavy = F.broadcast(_weights(terms.where(F.col("df") > bar)))
+            out.append(_scored(rows.join(heavy, ["field", "term"]), scorer))
+            out.append(_scored(rows.join(heavy.select("field", "term"), ["field", "term"], "left_anti").join(_weights(terms.where(F.col("df") <= bar)), ["field", "term"]), scorer))
+    return out
+
+
+def _term_leaves(leaves: list[Query], view: IndexView) -> list[tuple[int, Query]]:
+    return [(i, x) for i, x in enumerate(leaves) if isinstance(x, _TERM_LEAVES) and _usable(x, view) and not (isinstance(x, ast.Term) and not x.term)]
+
+
+def _scan(leaves: list[tuple[int, Query]], view: IndexView) -> DataFrame:
+    scan = reduce(Column.__or__, ((F.col("field") == x.field) & expand.matches(x, F.col("term")) for _, x in leaves))
+    return view.postings.where(scan).select("field", "term", "doc_id", "tf", "dl")
+
+
+def _weights(terms: DataFrame) -> DataFrame:
+    return terms.select("leaf", "field", "term", "weight", "avgdl")
+
+
+def _scored(hits: DataFrame, scorer: Scorer) -> DataFrame:
     dl = F.lit(100.0) if scorer.compat else F.col("dl").cast("double")
     s = scoring.term_score(F.col("weight"), F.col("tf").cast("double"), dl, F.col("avgdl"), scorer.k1, scorer.b)
     return hits.select("doc_id", "leaf", s.alias("s"))
@@ -165,23 +198,38 @@ def _position_hits(leaves: list[Query], view: IndexView, scorer: Scorer) -> list
     return out
 
 
-def limits_exceeded(q: Query, view: IndexView) -> bool:
-    """Whether some leaf stands for more terms than a query takes."""
+def count_terms(q: Query, view: IndexView, expansions: Limit = expand.USUAL) -> tuple[int, bool]:
+    """(terms the leaves stand for, whether some leaf has more than it may), in one job.
+
+    Terms are one each; a pattern's count stops one behind its limit.
+    """
     leaves: list[Query] = []
     _collect(rewrite(q), leaves)
-    return any(expand.limit_exceeded(view.terms, x) for x in leaves if isinstance(x, _TERM_LEAVES) and not isinstance(x, ast.Term))
-
-
-def explain_hits(q: Query, hits: DataFrame, view: IndexView, scorer: Scorer = Scorer()) -> DataFrame:
+    mine = [x for _, x in _term_leaves(leaves, view)]
+    patterns = [x for x in mine if not isinstance(x, ast.Term)]
+    if not patterns:
+        return len(mine), False
+    counts = [expand.count(view.terms, x, expansions).withColumn("i", F.lit(i)) for i, x in enumerate(patterns)]
+    n = {r["i"]: r["n"] for r in reduce(DataFrame.unionByName, counts).collect()}
+    over = False
+    total = len(mine) - len(patterns)
+    for i, x in enumerate(patterns):
+        most = expand.limit_of(x, expansions)
+        over |= most is not None and n[i] > most
+        total += n[i] if most is None else min(n[i], most)
+    return total, over
+
+
+def explain_hits(q: Query, hits: DataFrame, view: IndexView, scorer: Scorer = Scorer(), expansions: Limit = None) -> DataFrame:
     """``hits`` (a page of results) with ``explanation``: JSON of every matching term's score."""
     leaves: list[Query] = []
     _collect(rewrite(q), leaves)
-    mine = [(i, x) for i, x in enumerate(leaves) if isinstance(x, _TERM_LEAVES) and _usable(x, view) and not (isinstance(x, ast.Term) and not x.term)]
-    terms = leaf_terms(mine, view, scorer)
+    mine = _term_leaves(leaves, view)
+    terms = leaf_terms(mine, view, scorer, expansions)
     if terms is None:
         return hits.withColumn("explanation", F.lit(None).cast("string"))
-    scan = reduce(Column.__or__, ((F.col("field") == x.field) & expand.matches(x, F.col("term")) for _, x in mine))
-    rows = view.postings.where(scan).join(F.broadcast(hits.select("doc_id")), "doc_id").join(F.broadcast(terms), ["field", "term"])
+    # a page is at most topk.MAX_K rows; the terms meet only its postings
+    rows = _scan(mine, view).join(F.broadcast(hits.select("doc_id")), "doc_id").join(terms, ["field", "term"])
     tf, dl = F.col("tf").cast("double"), F.lit(100.0) if scorer.compat else F.col("dl").cast("double")
     s = scoring.term_score(F.col("weight"), tf, dl, F.col("avgdl"), scorer.k1, scorer.b)
     one = scoring.explanation(F.col("field"), F.col("term"), tf, dl, F.col("df"), F.lit(view.n_docs), F.col("avgdl"), s, F.col("boost"), scorer.k1, scorer.b)

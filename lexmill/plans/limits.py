@@ -1,4 +1,8 @@
-"""Budgets of a query: time, and the number of expanded terms."""
+"""What a request may cost: seconds of Spark time, and terms its patterns may stand for.
+
+Patterns are not run as automata here (the scan evaluates them), so terms are what is counted.
+Time is kept by Spark itself: the jobs of a request carry a tag and are cancelled by it.
+"""
 
 from __future__ import annotations
 
@@ -6,72 +10,56 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
-# The defaults.
+# Fixed value: the default time of a request.
 TIMEOUT = 30.0
-MAX_STATES = 10_000
-MAX_TERMS = 1000
-#: The clock is read at every so many checks.
-CLOCK_EVERY = 128
 
 R = TypeVar("R")
 
 
 class LimitError(RuntimeError):
-    """A query ran out of a budget."""
-
-
-@dataclass
-class ExecutionContext:
-    """Counters a plan is checked against; flags say which budget ran out."""
-
-    timeout: float = TIMEOUT
-    max_states: int = MAX_STATES
-    max_terms: int = MAX_TERMS
-    states: int = 0
-    terms: int = 0
-    timed_out: bool = False
-    limit_exceeded: bool = False
-    _checks: int = 0
-    _began: float = field(default_factory=time.monotonic)
-
-    def check(self) -> None:
-        """States first, then terms, then, now and again, the clock."""
-        if self.states > self.max_states:
-            self.limit_exceeded = True
-            raise LimitError(f"more than {self.max_states} states")
-        if self.terms > self.max_terms:
-            self.limit_exceeded = True
-            raise LimitError(f"more than {self.max_terms} terms")
-        self._checks += 1
-        if self._checks % CLOCK_EVERY == 0 and time.monotonic() - self._began > self.timeout:
-            self.timed_out = True
-            raise LimitError(f"more than {self.timeout} seconds")
-
-    @property
-    def left(self) -> float:
-        return max(0.0, self.timeout - (time.monotonic() - self._began))
+    """A request that may not go on."""
+
+
+class OutOfTimeError(LimitError):
+    """The time is up; its jobs have been cancelled."""
+
+
+class Budget:
+    """One request's allowance; ``terms=None`` leaves the number of terms open."""
+
+    def __init__(self, seconds: float = TIMEOUT, terms: int | None = None) -> None:
+        self.ends = time.monotonic() + seconds
+        self.seconds, self.terms, self.taken = seconds, terms, 0
+
+    def take(self, terms: int) -> None:
+        """Books terms that leaves stand for; the compiler calls it before anything is scored."""
+        self.taken += terms
+        if self.terms is not None and self.taken > self.terms:
+            raise LimitError(f"the request stands for {self.taken} terms, allowed are {self.terms}")
 
     def run(self, spark: SparkSession, action: Callable[[], R]) -> R:
         """An action whose Spark jobs are cancelled when the time is up."""
-        tag, context = f"lexmill-{uuid.uuid4().hex}", spark.sparkContext
+        tag, context, late = f"lexmill-{uuid.uuid4().hex}", spark.sparkContext, threading.Event()
 
         def stop() -> None:
-            self.timed_out = True
+            late.set()
             context.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(self.left, stop)
+        left = self.ends - time.monotonic()
+        if left <= 0:
+            raise OutOfTimeError(f"more than {self.seconds} seconds")
+        timer = threading.Timer(left, stop)
         context.addJobTag(tag)
         timer.start()
         try:
             return action()
         except Exception as e:
-            if self.timed_out:
-                raise LimitError(f"more than {self.timeout} seconds") from e
+            if late.is_set():
+                raise OutOfTimeError(f"more than {self.seconds} seconds") from e
             raise
         finally:
             timer.cancel()

@@ -15,14 +15,18 @@ from lexmill.sources import tables
 
 TEXT = "text"
 T_THE, T_SEGMENT, T_MERGE, T_REBUILD, T_QUERY = (ast.Term(TEXT, t) for t in ("the", "segment", "merge", "rebuild", "query"))
-ASCII = r"^[\x00-\x7f]*$"
 
 
-def _hits(q: ast.Query, scorer: Scorer = Scorer(), table: str = "documents") -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return compile_query(q, tables.view(spark, d, table), scorer).select("doc_id", F.round("score", 6).alias("score"))
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6))
 
-    return run
+
+def _raw(q: ast.Query, spark: SparkSession, d: str, scorer: Scorer = Scorer(), table: str = "documents") -> DataFrame:
+    return compile_query(q, tables.view(spark, d, table), scorer).select("doc_id", "score")
+
+
+def _hits(q: ast.Query, scorer: Scorer = Scorer(), table: str = "documents") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _rounded(_raw(q, spark, d, scorer, table))
 
 
 # --- sources, analysis, index -------------------------------------------------------------
@@ -47,13 +51,6 @@ def stored_fields(spark: SparkSession, d: str) -> DataFrame:
     return indexing.stored_fields(tables.documents(spark, d), tables.DOCUMENTS)
 
 
-def delete_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    """Documents left after deleting those of the statuses archived and deleted."""
-    a = spark.read.parquet(f"{d}/article.parquet")
-    gone = a.where(F.lower("status").isin("archived", "deleted")).select("id").distinct()
-    return a.join(gone, "id", "left_anti").select("id", "status").distinct()
-
-
 def term_scan(spark: SparkSession, d: str) -> DataFrame:
     p = tables.view(spark, d).postings
     return p.where((F.col("field") == TEXT) & (F.col("term") == "segment")).select("doc_id", F.col("tf").cast("bigint").alias("tf"))
@@ -121,8 +118,8 @@ def q_prefix_limited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII terms within two edits that share the first letter."""
-    t = expand.expand(tables.view(spark, d).terms.where(F.col("term").rlike(ASCII)), FUZZY)
+    """Terms within two edits that share the first letter."""
+    t = expand.expand(tables.view(spark, d).terms, FUZZY, None)
     return t.select("term", "df")
 
 
@@ -141,18 +138,18 @@ TWO = bool_of(should=[T_SEGMENT, T_REBUILD])
 def topk(spark: SparkSession, d: str) -> DataFrame:
     """Two-term search: best 10 with stored fields, joined to the ten hits only."""
     v = tables.view(spark, d)
-    best = tk.topk(_hits(TWO)(spark, d), 10)
+    best = _rounded(tk.topk(_raw(TWO, spark, d), 10))
     return v.docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", "id", "lang", "source", "n_chars")
 
 
 def hits_with_stored(spark: SparkSession, d: str) -> DataFrame:
     v = tables.view(spark, d)
-    best = tk.topk(_hits(ast.Prefix(TEXT, "seg"))(spark, d), 25)
+    best = _rounded(tk.topk(_raw(ast.Prefix(TEXT, "seg"), spark, d), 25))
     return v.docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", "id", "source")
 
 
 def topk_offset(spark: SparkSession, d: str) -> DataFrame:
-    return tk.topk(_hits(OR3)(spark, d), 10, 10)
+    return _rounded(tk.topk(_raw(OR3, spark, d), 10, 10))
 
 
 def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
@@ -164,15 +161,11 @@ def bm25_explain(spark: SparkSession, d: str) -> DataFrame:
 
 def _shards(spark: SparkSession, d: str) -> DataFrame:
     """Hits tagged with the shard of their document."""
-    return _hits(OR3)(spark, d).withColumn("shard_id", F.pmod("doc_id", F.lit(4)).cast("bigint"))
+    return _raw(OR3, spark, d).withColumn("shard_id", F.pmod("doc_id", F.lit(4)).cast("bigint"))
 
 
 def shard_topk_merge(spark: SparkSession, d: str) -> DataFrame:
-    return tk.merge_topk(tk.shard_topk(_shards(spark, d), 15), 15).select("shard_id", "doc_id", "score")
-
-
-def shard_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _shards(spark, d).groupBy("shard_id").agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("best"))
+    return _rounded(tk.merge_topk(tk.shard_topk(_shards(spark, d), 15), 15).select("shard_id", "doc_id", "score"))
 
 
 # --- segments and manifests as tables -----------------------------------------------------
@@ -182,20 +175,6 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/segment_meta.parquet")
 
 
-def _totals(meta: DataFrame) -> DataFrame:
-    big = lambda c: F.coalesce(F.sum(F.col(c).cast("bigint")), F.lit(0).cast("bigint"))
-    return meta.agg(F.count(F.lit(1)).alias("segments"), big("doc_count").alias("docs"), big("doc_count_alive").alias("docs_alive"), big("size_bytes").alias("size_bytes"))
-
-
-def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _totals(_meta(spark, d))
-
-
-def snapshot_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """What a reader of generation 100 sees."""
-    return _totals(_meta(spark, d).where(F.col("generation") <= 100))
-
-
 def segment_stats(spark: SparkSession, d: str) -> DataFrame:
     """Entries and distinct terms of every segment of the manifest."""
     e = spark.read.parquet(f"{d}/term_entry.parquet").groupBy("segment_id").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("field", "term").alias("terms"))
@@ -204,24 +183,6 @@ def segment_stats(spark: SparkSession, d: str) -> DataFrame:
     return m.join(e, "segment_id", "left").select("segment_id", "generation", "doc_count", F.coalesce("entries", zero).alias("entries"), F.coalesce("terms", zero).alias("terms"))
 
 
-def orphan_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Segments with entries on disk that no manifest up to generation 500 refers to."""
-    on_disk = spark.read.parquet(f"{d}/term_entry.parquet").select("segment_id").where("segment_id is not null").distinct()
-    return on_disk.join(_meta(spark, d).where(F.col("generation") <= 500), "segment_id", "left_anti")
-
-
-def segments_union(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionary over all segments: frequencies of a (field, term) added up."""
-    e = spark.read.parquet(f"{d}/term_entry.parquet").where("term is not null")
-    return e.groupBy("field", "term").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("count").cast("bigint")).alias("df"))
-
-
-def index_info(spark: SparkSession, d: str) -> DataFrame:
-    """One row on the index: documents, fields, terms and occurrences."""
-    v = tables.view(spark, d)
-    return v.stats.agg(F.count(F.lit(1)).alias("fields"), F.sum("term_count").alias("terms"), F.sum("total_term_freq").alias("occurrences")).withColumn("docs", F.lit(v.n_docs).cast("bigint"))
-
-
 MULTI = bool_of(must=[ast.Term("title", "segment", 2.0)], should=[ast.Term("body", "merge"), ast.Term("tags", "search", 0.5)], must_not=[ast.Term("body", "crash")])
 NESTED = bool_of(must=[bool_of(should=[T_SEGMENT, T_MERGE])], should=[ast.Term(TEXT, "shard", 2.0)], must_not=[ast.Term("source", "idx-mainline")])
 
@@ -230,7 +191,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_ids": duplicate_ids,
     "build_postings": build_postings,
     "stored_fields": stored_fields,
-    "delete_anti_join": delete_anti_join,
     "term_scan": term_scan,
     "field_stats": field_stats,
     "term_count": term_count,
@@ -253,6 +213,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_prefix": _hits(PREFIX),
     "q_prefix_limited": q_prefix_limited,
     "q_wildcard": lambda s, d: _docs(s, d, WILDCARD),
+    "q_wildcard_all": _hits(ast.Wildcard(TEXT, "*e*")),
+    "q_fuzzy_scored": _hits(FUZZY),
     "q_regexp": lambda s, d: _docs(s, d, REGEXP),
     "q_fuzzy": q_fuzzy,
     "q_phrase": _hits(ast.Phrase(TEXT, ("the", "segment"))),
@@ -270,13 +232,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topk_offset": topk_offset,
     "hits_with_stored": hits_with_stored,
     "shard_topk_merge": shard_topk_merge,
-    "shard_totals": shard_totals,
-    "manifest_totals": manifest_totals,
-    "snapshot_as_of": snapshot_as_of,
     "segment_stats": segment_stats,
-    "orphan_segments": orphan_segments,
-    "segments_union": segments_union,
-    "index_info": index_info,
 }
 
 # --- SQL -----------------------------------------------------------------------------------
@@ -299,14 +255,16 @@ def _bm25(weight: str = "1", dl: str = "dl", avgdl: str = "avgdl") -> str:
     return f"({weight}) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * {dl} / {avgdl}))"
 
 
-def _terms_sql(where: str, weight: str = "1") -> str:
-    return f"""with {_POST} select doc_id, round(sum({_bm25(weight)}), 6) as score
+def _terms_sql(where: str, weight: str = "1", digits: str = ", 6") -> str:
+    score = f"round(sum({_bm25(weight)}){digits})" if digits else f"sum({_bm25(weight)})"
+    return f"""with {_POST} select doc_id, {score} as score
         from post join df using (term) join dl using (doc_id), n, av where {where} group by doc_id"""
 
 
 _OR3 = _terms_sql("term in ('segment', 'merge', 'query')")
-_TWO = _terms_sql("term in ('segment', 'rebuild')")
-_SEG = _terms_sql("starts_with(term, 'seg')")
+_RAW3 = _terms_sql("term in ('segment', 'merge', 'query')", digits="")
+_TWO = _terms_sql("term in ('segment', 'rebuild')", digits="")
+_SEG = _terms_sql("starts_with(term, 'seg')", digits="")
 _HAS = f"with {_TOK}, h as (select doc_id, list(distinct term) t from tok where term in ('segment', 'merge', 'the', 'rebuild', 'query') group by doc_id)"
 _IDFS = lambda *ts: "(" + " + ".join(f"(select ln(1 + (n - df + 0.5) / (df + 0.5)) from df, n where term = '{t}')" for t in ts) + ")"
 _COUNTED = "round({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as score"
@@ -330,7 +288,6 @@ SQL: dict[str, str] = {
     "build_postings": f"""with {_FIELD_TERMS} select 'text' as field, term, doc_id, count(*) as tf, array_to_string(list_sort(list(pos)), ' ') as positions from tok group by term, doc_id
         union all select field, term, doc_id, 1, null from ft where field <> 'text'""",
     "stored_fields": "select doc_id, cast(doc_id as varchar) as id, lang, source, cast(n_chars as varchar) as n_chars from documents",
-    "delete_anti_join": "select distinct id, status from article a where not exists (select 1 from article b where b.id = a.id and lower(b.status) in ('archived', 'deleted'))",
     "term_scan": f"with {_TOK} select doc_id, count(*) as tf from tok where term = 'segment' group by doc_id",
     "field_stats": f"""with {_FIELD_TERMS}, p as (select field, term, doc_id, count(*) tf from ft group by all), d as (select field, term, count(*) df from p group by all)
         select field, term_count, total_term_freq, doc_count, sum_doc_freq, min_term_length, max_term_length from
@@ -359,11 +316,13 @@ SQL: dict[str, str] = {
     "q_and_not": f"{_HAS} select doc_id from h where list_contains(t, 'the') and not list_has_any(t, ['segment', 'merge'])",
     "q_not": f"with {_TOK} select doc_id from documents where doc_id not in (select doc_id from tok where term = 'the')",
     "q_min_should_match": f"{_HAS} select doc_id from h where len(list_intersect(t, ['segment', 'merge', 'rebuild', 'query'])) >= 3",
-    "q_prefix": f"with {_POST}, x as (select term from df where starts_with(term, 're') order by term limit 1000) select doc_id, round(sum({_bm25()}), 6) as score from post join x using (term) join df using (term) join dl using (doc_id), n, av group by doc_id",
+    "q_prefix": f"with {_POST}, x as (select term from df where starts_with(term, 're')) select doc_id, round(sum({_bm25()}), 6) as score from post join x using (term) join df using (term) join dl using (doc_id), n, av group by doc_id",
     "q_prefix_limited": f"with {_TOK} select term, count(distinct doc_id) as df from tok where starts_with(term, 's') group by term order by term limit 25",
     "q_wildcard": f"with {_TOK} select distinct doc_id from tok where regexp_full_match(term, '(?s)s.*e.t')",
+    "q_wildcard_all": _terms_sql("contains(term, 'e')"),
+    "q_fuzzy_scored": _terms_sql("starts_with(term, 's') and levenshtein(regexp_replace(term, '[^\\x00-\\x7f]', '#', 'g'), 'shard') <= 2"),
     "q_regexp": f"with {_TOK} select distinct doc_id from tok where regexp_full_match(term, '(re|de)[a-z]+e')",
-    "q_fuzzy": f"with {_TOK} select term, count(distinct doc_id) as df from tok where regexp_full_match(term, '[\\x00-\\x7f]*') and starts_with(term, 's') and levenshtein(term, 'shard') <= 2 group by term",
+    "q_fuzzy": f"with {_TOK} select term, count(distinct doc_id) as df from tok where starts_with(term, 's') and levenshtein(regexp_replace(term, '[^\\x00-\\x7f]', '#', 'g'), 'shard') <= 2 group by term",
     "q_phrase": f"""with {_POST}, m as (select a.doc_id, count(*) tf from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 where a.term = 'the' and b.term = 'segment' group by a.doc_id)
         select doc_id, {_COUNTED.format(idf=_IDFS('the', 'segment'))} from m join dl using (doc_id), av""",
     "q_phrase_slop": f"""with {_POST}, a as (select doc_id, pos from tok where term = 'merge'), b as (select a.doc_id, a.pos s, min(t.pos) l from a join tok t on t.doc_id = a.doc_id and t.term = 'the' and t.pos > a.pos group by all),
@@ -379,16 +338,10 @@ SQL: dict[str, str] = {
     "bm25_multi": _OR3,
     "bm25_compat": f"""with {_FIELD_TERMS}, p as (select term, doc_id, count(*) tf from tok where term = 'segment' group by all), d as (select count(*) df from p), n as (select count(*)::double n from documents),
         a as (select count(*) / (select n from n) avgdl from (select distinct field, term from ft)) select doc_id, round({_bm25(dl="100", avgdl="avgdl")}, 6) as score from p, d, n, a""",
-    "topk": f"select b.doc_id, score, cast(b.doc_id as varchar) as id, lang, source, cast(n_chars as varchar) as n_chars from ({_TWO} order by score desc, doc_id limit 10) b join documents using (doc_id)",
-    "topk_offset": f"select * from ({_OR3}) order by score desc, doc_id limit 10 offset 10",
-    "hits_with_stored": f"select b.doc_id, score, cast(b.doc_id as varchar) as id, source from ({_SEG} order by score desc, doc_id limit 25) b join documents using (doc_id)",
-    "shard_topk_merge": f"select doc_id % 4 as shard_id, doc_id, score from ({_OR3}) order by score desc, doc_id limit 15",
-    "shard_totals": f"select doc_id % 4 as shard_id, count(*) as total_hits, max(score) as best from ({_OR3}) group by 1",
-    "manifest_totals": "select count(*) as segments, cast(coalesce(sum(doc_count), 0) as bigint) as docs, cast(coalesce(sum(doc_count_alive), 0) as bigint) as docs_alive, cast(coalesce(sum(size_bytes), 0) as bigint) as size_bytes from segment_meta",
-    "snapshot_as_of": "select count(*) as segments, cast(coalesce(sum(doc_count), 0) as bigint) as docs, cast(coalesce(sum(doc_count_alive), 0) as bigint) as docs_alive, cast(coalesce(sum(size_bytes), 0) as bigint) as size_bytes from segment_meta where generation <= 100",
+    "topk": f"select b.doc_id, round(score, 6) as score, cast(b.doc_id as varchar) as id, lang, source, cast(n_chars as varchar) as n_chars from ({_TWO} order by score desc, doc_id limit 10) b join documents using (doc_id)",
+    "topk_offset": f"select doc_id, round(score, 6) as score from ({_RAW3}) h order by h.score desc, doc_id limit 10 offset 10",
+    "hits_with_stored": f"select b.doc_id, round(score, 6) as score, cast(b.doc_id as varchar) as id, source from ({_SEG} order by score desc, doc_id limit 25) b join documents using (doc_id)",
+    "shard_topk_merge": f"select doc_id % 4 as shard_id, doc_id, round(score, 6) as score from ({_RAW3}) h order by h.score desc, doc_id limit 15",
     "segment_stats": """select segment_id, generation, cast(doc_count as bigint) as doc_count, coalesce(entries, 0) as entries, coalesce(terms, 0) as terms from segment_meta left join
         (select segment_id, count(*) entries, count(distinct case when field is not null and term is not null then {'f': field, 't': term} end) terms from term_entry group by segment_id) using (segment_id)""",
-    "orphan_segments": "select distinct segment_id from term_entry e where segment_id is not null and not exists (select 1 from segment_meta m where m.segment_id = e.segment_id and generation <= 500)",
-    "segments_union": "select field, term, count(*) as segments, cast(sum(count) as bigint) as df from term_entry where term is not null group by field, term",
-    "index_info": f"with {_FIELD_TERMS} select 3::bigint as fields, (select count(*) from (select distinct field, term from ft)) as terms, (select count(*) from ft) as occurrences, (select count(*) from documents) as docs",
 }

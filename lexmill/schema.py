@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
@@ -46,11 +46,12 @@ class Schema:
     version: int = 1
     created_at: str = ""
 
-    def validate(self, strict: bool = False) -> Schema:
+    def validate(self, strict: bool = False, analyzers: Collection[str] = ANALYZERS) -> Schema:
         """Raises :class:`SchemaError` at the first broken rule; returns the schema itself.
 
         A text field without an analyzer takes the default one; with ``strict`` it is an error.
-        Names may be of any characters; an ``id`` field is not required.
+        Names may be of any characters; an ``id`` field is not required.  ``analyzers`` are the
+        names that may be used (a registry's, or the built-in ones).
         """
         if len(self.fields) > MAX_FIELDS:
             raise SchemaError(f"{len(self.fields)} fields, at most {MAX_FIELDS} are allowed")
@@ -65,7 +66,7 @@ class Schema:
                 raise SchemaError(f"field name {f.name[:40]}... is longer than {MAX_NAME_BYTES} bytes")
             if f.type not in FIELD_TYPES:
                 raise SchemaError(f"field {f.name} has unknown type {f.type!r}")
-            if f.analyzer and f.analyzer not in ANALYZERS:
+            if f.analyzer and f.analyzer not in analyzers:
                 raise SchemaError(f"field {f.name} has unknown analyzer {f.analyzer!r}")
             if f.type == "text" and not f.analyzer and (strict or not self.default_analyzer):
                 raise SchemaError(f"text field {f.name} needs an analyzer")
@@ -73,7 +74,7 @@ class Schema:
                 raise SchemaError(f"field {f.name}: only text fields have positions")
             if f.type == "stored_only" and (f.indexed or not f.stored):
                 raise SchemaError(f"field {f.name}: stored_only must be stored and not indexed")
-        if self.default_analyzer and self.default_analyzer not in ANALYZERS:
+        if self.default_analyzer and self.default_analyzer not in analyzers:
             raise SchemaError(f"unknown default analyzer {self.default_analyzer!r}")
         return self
 

@@ -19,6 +19,10 @@ PHASES = ("prepare", "write", "verify", "install", "manifest", "activate", "clea
 TABLES = ("docs", "postings", "lengths", "terms", "stats", "tombstones")
 
 
+#: Rows of a file at most; a file is read whole when its checksum is made.
+FILE_ROWS = 4_000_000
+
+
 class CommitError(RuntimeError):
     """A commit that could not be finished; the generation is unchanged."""
 
@@ -58,7 +62,8 @@ def _write(fs: Fs, home: str, tables: SegmentTables) -> None:
 
     def put(name: str, df: DataFrame) -> None:
         writer = df.write.partitionBy("field") if name == "postings" else df.write
-        writer.parquet(fs.full(f"{home}/{name}"))
+        # files stay small enough to be hashed as one value
+        writer.option("maxRecordsPerFile", FILE_ROWS).parquet(fs.full(f"{home}/{name}"))
 
     def read(name: str) -> DataFrame:
         reader = fs.spark.read.schema(POSTINGS) if name == "postings" else fs.spark.read

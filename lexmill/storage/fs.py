@@ -91,6 +91,16 @@ class Fs:
         stream.close()
         return True
 
+    def sizes(self, path: str) -> dict[str, int]:
+        """Sizes of the data files below a folder, from its listing alone."""
+        out, files = {}, self._fs.listFiles(self._path(path), True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().toString()
+            if name.endswith(".parquet"):
+                out[name.split(f"/{path}/", 1)[1]] = f.getLen()
+        return out
+
     def checksums(self, path: str) -> dict[str, dict]:
         """Size and SHA-256 of every data file below a folder, computed where the data is read."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.full(path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import threading
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +21,8 @@ from lexmill.storage.snapshot import Snapshot, SnapshotManager
 
 #: A document's id is its generation, shifted by so many bits, plus its place in the segment.
 SHIFT = 40
+#: Fixed value: documents a segment may hold.
+MAX_SEGMENT_DOCS = 1 << 31
 
 
 class IndexBusyError(RuntimeError):
@@ -30,6 +33,22 @@ class EmptyCommitError(ValueError):
     """Nothing to commit."""
 
 
+class BufferFullError(ValueError):
+    """A batch that does not fit into the next commit any more; commit first."""
+
+
+@dataclass(frozen=True)
+class PendingLimits:
+    """How much may wait for a commit; a batch that goes beyond is refused, or with ``commit`` the waiting ones are committed first.
+
+    A batch is counted by its documents and the bytes of its values; one batch may always wait alone.
+    """
+
+    docs: int = 10_000_000_000
+    bytes: int = 1 << 46
+    commit: bool = False
+
+
 class Index:
     """Readers see committed generations only; one writer at a time adds batches and deletes.
 
@@ -38,7 +57,8 @@ class Index:
     several segments.
     """
 
-    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, append: bool = False, verify: bool = True) -> None:
+    def __init__(self, spark: SparkSession, root: str, registry: Registry | None = None, append: bool = False, verify: bool | str = "newest", pending: PendingLimits | None = None) -> None:
+        self.limits = pending or PendingLimits()
         self.spark, self.fs, self.registry, self.append = spark, Fs(spark, root), registry or Registry(), append
         self.schema = Schema.from_json(self.fs.read(mf.SCHEMA).decode())
         self.recovery = rc.recover(self.fs, verify)
@@ -46,7 +66,7 @@ class Index:
         self.snapshots = SnapshotManager(self.manifest.generation, (s.id for s in self.manifest.segments))
         self._batches: list[DataFrame] = []
         self._deletes: list[DataFrame] = []
-        self._counts = [0, 0]
+        self._counts, self._bytes = [0, 0], 0
         self._lock = threading.RLock()
         self._views: dict[int, IndexView] = {}
 
@@ -56,7 +76,8 @@ class Index:
         fs = Fs(spark, root)
         if fs.exists(mf.SCHEMA):
             raise FileExistsError(f"there is an index in {root}")
-        text = schema.validate().created().to_json()
+        registry = options.get("registry") or Registry()
+        text = schema.validate(analyzers=registry.names()).created().to_json()
         for name in (mf.MANIFESTS, mf.SEGMENTS, mf.TMP):
             fs.make(name)
         fs.write(mf.SCHEMA, text.encode())
@@ -77,13 +98,22 @@ class Index:
         cols = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]
         batch = batch.select(*cols)
         n = indexing.check_batch(batch)
+        if n > MAX_SEGMENT_DOCS:
+            raise indexing.DocumentError(f"{n} documents are over {MAX_SEGMENT_DOCS}, the most of a segment")
+        size = batch.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in wanted))).cast("bigint")).first()[0] or 0
         with self._lock:
+            full = self._batches and (self._counts[0] + n > self.limits.docs or self._bytes + size > self.limits.bytes)
+            if full and not self.limits.commit:
+                raise BufferFullError(f"{self._counts[0]} documents ({self._bytes} bytes) wait for a commit, {n} more ({size} bytes) do not fit")
+            if full:
+                self.commit()
             if self._batches:
                 twice = reduce(DataFrame.unionByName, self._batches).select("id").join(batch.select("id"), "id", "left_semi").limit(1).collect()
                 if twice:
                     raise indexing.DocumentError(f"document {twice[0]['id']!r} is already in the next commit")
             self._batches.append(batch)
             self._counts[0] += n
+            self._bytes += size
         return n
 
     def delete(self, ids: DataFrame | Iterable[str]) -> int:
@@ -98,7 +128,7 @@ class Index:
 
     def abort(self) -> None:
         with self._lock:
-            self._batches, self._deletes, self._counts = [], [], [0, 0]
+            self._batches, self._deletes, self._counts, self._bytes = [], [], [0, 0], 0
 
     def commit(self, source_batch: int = -1, after: Callable[[str], None] | None = None) -> cm.CommitResult:
         """Makes the pending documents and deletes the next generation."""

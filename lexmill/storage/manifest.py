@@ -12,7 +12,7 @@ from lexmill.storage.fs import Fs
 
 # Places and names.
 CURRENT = "manifest.current"
-MANIFESTS, SEGMENTS, TMP, SCHEMA = "manifests", "segments", "tmp", "schema.json"
+MANIFESTS, SEGMENTS, TMP, SCHEMA, LOCK = "manifests", "segments", "tmp", "schema.json", "write.lock"
 _NAME = re.compile(r"manifest_gen_(\d+)\.json\Z")
 
 

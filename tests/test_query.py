@@ -10,7 +10,7 @@ from lexmill.operators import expand, phrase, topk as tk
 from lexmill.operators.scoring import Bm25
 from lexmill.plans import ast
 from lexmill.plans.ast import Boolean, Clause, MatchAll, MatchNone, Occur, QueryError, Term, bool_of
-from lexmill.plans.compile import compile_query, limits_exceeded
+from lexmill.plans.compile import compile_query, count_terms
 from lexmill.plans.parse import parse_query, parse_request
 from lexmill.plans.rewrite import rewrite
 from lexmill.plans.view import IndexView
@@ -182,7 +182,8 @@ def test_expansions(spark):
     assert accepted(spark, ast.Fuzzy("f", "ab", 0)) == set()
     df = spark.createDataFrame([("f", f"t{i:04}", 1, 1) for i in range(30)], "field string, term string, df long, cf long")
     assert [r["term"] for r in expand.expand(df, ast.Prefix("f", "t"), 3).collect()] == ["t0000", "t0001", "t0002"]
-    assert expand.limit_exceeded(df, ast.Prefix("f", "t"), 29) and not expand.limit_exceeded(df, ast.Prefix("f", "t"), 30)
+    assert [expand.count(df, ast.Prefix("f", "t"), n).first()[0] for n in (28, 29, 30, 31, None)] == [29, 30, 30, 30, 30]
+    assert len(expand.expand(df, ast.Prefix("f", "t"), None).collect()) == 30
 
 
 @given(st.text("ab*?.", max_size=6), st.text("ab.\n", max_size=6))
@@ -259,5 +260,27 @@ def test_topk(spark):
 def test_scan_is_pruned(view):
     plan = compile_query(Term("f", "a"), view)._jdf.queryExecution().toString()
     assert "EqualTo(term,a)" in plan and "EqualTo(field,f)" in plan and "positions" not in plan.split("ReadSchema")[1].split("\n")[0]
-    assert not limits_exceeded(ast.Prefix("f", "a"), view)
-    assert F is not None
+    assert count_terms(ast.Prefix("f", "a"), view)[1] is False
+    assert count_terms(ast.bool_of(should=[Term("f", "a"), ast.Wildcard("f", "*")]), view, 1) == (2, True)
+
+
+def test_patterns_without_a_limit(spark, view, monkeypatch):
+    from lexmill.plans import compile as co
+
+    for q in (ast.Wildcard("f", "*"), ast.Prefix("f", "a"), ast.bool_of(must=[ast.Regexp("f", ".*")], should=[Term("f", "a"), ast.Fuzzy("f", "abc", 2)])):
+        want = {r["doc_id"]: round(r["score"], 9) for r in compile_query(q, view, expansions=10_000).collect()}
+        assert want
+        for heavy in (1, 3, 20_000):  # all terms shuffled, some, none
+            monkeypatch.setattr(co, "HEAVY", heavy)
+            assert {r["doc_id"]: round(r["score"], 9) for r in compile_query(q, view).collect()} == want
+
+
+def test_plain_analyzers_match_the_expressions(spark):
+    from lexmill.functions import analysis
+    from lexmill.functions.text import PLAIN
+
+    texts = ["Ab_c ДЖ ΣΑΣ İstanbul ﬁ é e\u0301 ١٢ ² Ⅷ x-y", " \u00a0a\u2003b\u0085c\x0bd\x1ce ", "", "a"]
+    for name in PLAIN:
+        a = analysis.Registry().get(name)
+        got = [r.a for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(a(F.col("t")).alias("a")).collect()]
+        assert got == [PLAIN[name](t) for t in texts], name

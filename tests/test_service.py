@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill import coordinator as co
 from lexmill.manager import LOCK, IndexManager
-from lexmill.plans.limits import ExecutionContext, LimitError
+from lexmill.plans.limits import Budget, LimitError, OutOfTimeError
 from lexmill.server import answer, serve
 from lexmill.sources.documents import hits_json, read_json_documents
 from lexmill.storage.index import Index, IndexBusyError
@@ -152,23 +152,72 @@ def test_streaming(spark, tmp_path):
     assert ix.view().n_docs == 2
 
 
-def test_limits(spark):
-    c = ExecutionContext(max_terms=2)
-    c.terms = 3
+def test_budgets(spark):
+    b = Budget(terms=5)
+    b.take(5)
     with pytest.raises(LimitError):
-        c.check()
-    assert c.limit_exceeded and not c.timed_out
-    c = ExecutionContext(timeout=-1)
-    with pytest.raises(LimitError):
-        for _ in range(200):
-            c.check()
-    assert c.timed_out
+        b.take(1)
+    with pytest.raises(OutOfTimeError):
+        Budget(-1).run(spark, lambda: 7)
     slow = spark.range(4).select(F.udf(lambda x: time.sleep(20))("id"))
     began = time.time()
-    with pytest.raises(LimitError):
-        ExecutionContext(timeout=2).run(spark, slow.collect)
+    with pytest.raises(OutOfTimeError):
+        Budget(2).run(spark, slow.collect)
     assert time.time() - began < 15
-    assert ExecutionContext(timeout=60).run(spark, lambda: 7) == 7
+    assert Budget(60).run(spark, lambda: 7) == 7
+
+
+def test_expansions_of_a_request(spark, tmp_path, monkeypatch):
+    from lexmill import search as se
+
+    ix = Index.create(spark, f"file://{tmp_path}/ix", SCHEMA)
+    ix.add(spark.createDataFrame([(f"d{i}", f"term{i:02}") for i in range(12)], "id string, title string"))
+    ix.commit()
+    ask = lambda **more: se.search(ix.view(), {"query": {"prefix": {"field": "title", "value": "term"}}, "size": 3, **more})
+    assert [(r["total_hits"], r["limit_exceeded"], len(r["hits"])) for r in (ask(), ask(max_expansions=5), ask(max_expansions=None), ask(max_expansions=12))] == [(12, False, 3), (5, True, 3), (12, False, 3), (12, False, 3)]
+    assert [h["stored_fields"]["title"] for h in ask(max_expansions=None)["hits"]] == [h["stored_fields"]["title"] for h in ask()["hits"]]
+    got = se.search(ix.view(), {"query": {"prefix": {"field": "title", "value": "term"}}}, max_terms=4)
+    assert got["status"] == "refused" and not got["hits"]
+
+    def late(*_):
+        raise OutOfTimeError("late")
+
+    monkeypatch.setattr(se, "_details", late)
+    got = ask()
+    assert got["status"] == "partial" and got["timed_out"] and got["total_hits"] == 12 and len(got["hits"]) == 3
+
+
+def test_registered_analyzers_and_full_buffers(spark, tmp_path):
+    from lexmill.functions.analysis import Registry
+    from lexmill.storage.index import BufferFullError, PendingLimits
+
+    r = Registry()
+    r.register("commas", lambda c: F.split(c, ","))
+    schema = Schema((text_field("title", "commas"),))
+    with pytest.raises(ValueError):
+        Index.create(spark, f"file://{tmp_path}/no", schema)
+    ix = Index.create(spark, f"file://{tmp_path}/ix", schema, registry=r, pending=PendingLimits(docs=2))
+    docs = spark.createDataFrame([("a", "x,y z"), ("b", "q")], "id string, title string")
+    ix.add(docs)
+    with pytest.raises(BufferFullError):
+        ix.add(docs.withColumn("id", F.concat("id", F.lit("2"))))
+    ix.limits = PendingLimits(bytes=3, commit=True)
+    ix.add(docs.withColumn("id", F.concat("id", F.lit("2"))))
+    assert ix.manifest.generation == 1 and ix.pending["docs"] == 2
+    assert sorted(t["term"] for t in ix.view().terms.collect()) == ["q", "x", "y z"]
+
+
+def test_opening_beside_a_writer_removes_nothing(spark, tmp_path):
+    ix = Index.create(spark, f"file://{tmp_path}/ix", SCHEMA)
+    ix.add(spark.createDataFrame([("a", "x")], "id string, title string"))
+    ix.commit()
+    (tmp_path / "ix" / "tmp" / "in_flight").mkdir(parents=True)
+    (tmp_path / "ix" / "write.lock").write_text("other")
+    Index(spark, f"file://{tmp_path}/ix")
+    assert (tmp_path / "ix" / "tmp" / "in_flight").exists()
+    (tmp_path / "ix" / "write.lock").unlink()
+    Index(spark, f"file://{tmp_path}/ix")
+    assert not (tmp_path / "ix" / "tmp" / "in_flight").exists()
 
 
 def test_json_files(spark, tmp_path):
