@@ -314,10 +314,14 @@ class FingerprintStore:
     def _home(self, table: str, segment: str) -> str:
         return self.fs.full(f"{table}/seg={segment}")
 
-    def _read(self, table: str, segments: Sequence[str]) -> DataFrame:
-        """Rows of the named segments only, whatever else lies in the folder."""
-        rows = self.spark.read.schema(_PRINTS if table == "prints" else _RECORDS).parquet(self.fs.full(table))
-        return rows.where(F.col("seg").isin([int(s) for s in segments]))
+    def _read(self, table: str, segments: Sequence[str], kind: int | None = None) -> DataFrame:
+        """Rows of the named segments only, whatever else lies in the folder; nothing else is listed."""
+        schema = _PRINTS if table == "prints" else _RECORDS
+        homes = [f"{table}/seg={s}" + ("" if kind is None else f"/kind={kind}") for s in segments]
+        paths = [self.fs.full(h) for h in homes if self.fs.exists(h)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.fs.full(table)).parquet(*paths)
 
     def _known_filters(self) -> DataFrame | None:
         """The newest filter of every partition, as rows of kind 0."""
@@ -327,7 +331,7 @@ class FingerprintStore:
         for s in sorted(set(self.filters.values())):
             mine = (F.col("seg") == int(s)) & F.col("part").isin([p for p, x in self.filters.items() if x == s])
             newest = mine if newest is None else newest | mine
-        return self._read("prints", sorted(set(self.filters.values()))).where((F.col("kind") == 0) & newest).drop("old", "seg")
+        return self._read("prints", sorted(set(self.filters.values())), 0).where(newest).drop("old", "seg")
 
     def _at(self, c: str) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int")
@@ -363,13 +367,13 @@ class FingerprintStore:
         return found
 
     def _found(self, segment: str, sketch: DataFrame) -> DataFrame:
-        own = self._read("prints", [segment]).where("kind = 1").select("part", "f", "pos", "c", "old")
+        own = self._read("prints", [segment], 1).select("part", "f", "pos", "c", "old")
         stats = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if("old").alias("old"), F.max("c").alias("top")).collect()
         parts = sorted(r["part"] for r in stats if r["old"])
         positives, total = sum(r["old"] for r in stats), sum(r["n"] for r in stats)
         hits = own.where("old or c > 1").select("f", "pos", "c")
         if parts and self.segments:
-            store = self._read("prints", self.segments).where((F.col("kind") == 1) & F.col("part").isin(parts)).select("f", F.col("pos").alias("first"))
+            store = self._read("prints", self.segments, 1).where(F.col("part").isin(parts)).select("f", F.col("pos").alias("first"))
             asked = own.where("old").select("f")
             met = store.join(F.broadcast(asked) if positives <= SENT else asked, "f", "left_semi")
             hits = hits.join(met.groupBy("f").agg(F.min("first").alias("first")), "f", "left")
