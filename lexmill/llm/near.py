@@ -13,11 +13,14 @@ and alike records are at most ``(1-T)/(1+T) (|x|+|y|)`` apart.
   the groups in which x has more words than y).  By the triangle inequality it is at most the
   distance: a pair with a larger one is discarded without losing any.  Counts are clamped to
   four bits, which only shrinks differences.
-* **Blocks**: which pairs are looked at.  ``BANDS`` keys per record, each of the minima of
-  ``ROWS`` seeded orders; records that share a key meet, with their pivot tables.  A pair at
-  similarity s is missed with probability ``(1 - s**ROWS) ** BANDS``: 0.3 % at exactly 0.7,
-  1e-4 at 0.76.  The keys are coarse on purpose; the tables discard nearly all they bring
-  together (figures in the README).
+* **Blocks**: which pairs are looked at.  A key is made of the least words of seeded orders, as
+  many as it takes until a record in about ``CROWD / records`` would have them all by the words'
+  frequencies in a sample, each given the ones before it (:class:`Orders`), and ``MOST`` at most.
+  So keys get longer as the table grows, and blocks don't; unusual words end a key at once.  Alike
+  records draw the same words and so end their keys alike: a key of r words is shared with probability
+  ``s**r``.  A record has keys until the chance that it shares none with one at similarity ``T``
+  is about ``exp(-SURE)``.  The keys are coarse on purpose; the tables discard nearly all
+  they bring together (figures in the README).
 * **Verification**: the survivors' word hashes are intersected exactly.
 
 Equal sets are one class and searched once.  Keys that hold more than a share of the rows
@@ -36,14 +39,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.functions.text import record_words
 from lexmill.operators.skew import spread_join
-from lexmill.scratch import materialise
+from lexmill.scratch import Shared, materialise
 
 T = 0.7
 MIN_WORDS = 12
-ROWS = 5
-BANDS = 32
 GROUPS = 32
-BLOCK = 1024
+BLOCK = 16_384
+#: Words of a key at most; rows that a block is meant to have; -ln of the chance to miss a pair at ``T``.
+MOST = 7
+CROWD = 128
+SURE = 7.5
+#: Records and words of the sample for frequencies, records of it for those of pairs, words listed, and how often these occur at least.
+SAMPLE, SAMPLE_WORDS, SAMPLE_PAIRS, LISTED, LEAST = 40_000, 4_000_000, 10_000, 2000, 8
+#: Rows of the sample in which hot keys are counted.
+HOT_SAMPLE = 50_000
 #: A key is routed around the shuffle if it holds more than one in so many rows.
 SHARE = 500
 SEED = 20240607
@@ -54,6 +63,14 @@ _MUL = (_rng.integers(0, 1 << 32, size=_MOST, dtype=np.uint64).astype(np.uint32)
 _XOR = _rng.integers(0, 1 << 32, size=_MOST, dtype=np.uint64).astype(np.uint32)
 _MIX = (_rng.integers(0, 1 << 63, size=_MOST, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
+#: The last bits of a word's hash give way to its place in the list; factors that end in 0...01 leave them as they are.
+_PLACE = 12
+_KEYS = int(np.ceil(SURE / -np.log1p(-(T**MOST))))
+_ORDER = (_rng.integers(0, 1 << 52, size=(_KEYS, MOST), dtype=np.uint64) << np.uint64(_PLACE)) | np.uint64(1)
+_FOLD = (_rng.integers(0, 1 << 63, size=MOST, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Bits are held in quarters.
+_PART = 4
+
 KEY = ["key", "key2"]
 TABLE = ["p0", "p1"]
 #: Low bits of a block key that hold the record's size, so a sorted block is in order of sizes.
@@ -146,7 +163,7 @@ def table_distance(p: str = "a", q: str = "b") -> Column:
     return total
 
 
-def band_keys(hs: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(hs: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """64-bit keys of all bands: (records, bands)."""
     h = (hs ^ (hs >> np.uint64(32))).astype(np.uint32)
     out = np.empty((len(starts), bands), np.uint64)
@@ -159,22 +176,152 @@ def band_keys(hs: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int
     return out
 
 
+class Orders:
+    """How many words a key needs: bits of the frequent words of a sample, alone and given another word."""
+
+    def __init__(self, words: np.ndarray, bits: np.ndarray, given: np.ndarray) -> None:
+        self.words, self.bits, self.given, self.need = words, bits, given, 0
+
+    @classmethod
+    def learn(cls, hs: np.ndarray, n: np.ndarray) -> Orders:
+        """From the distinct words of records: flat hashes and sizes."""
+        words, place, c = np.unique(hs, return_inverse=True, return_counts=True)
+        top = np.argsort(-c, kind="stable")[:LISTED]
+        top = np.sort(top[c[top] >= LEAST])
+        m, rest = len(top), max(LEAST, c[top].min() if len(top) == LISTED else 0)
+        parts = lambda share: np.clip(np.round(-_PART * np.log2(share)), 0, 255).astype(np.uint8)
+        bits = parts(np.minimum(1, np.r_[c[top], rest] / len(n)))
+        code = np.full(len(words), m)
+        code[top] = np.arange(m)
+        few = n[:SAMPLE_PAIRS]
+        code = code[place[: few.sum()]]
+        listed = code < m
+        record = np.repeat(np.arange(len(few)), few)[listed]
+        code, size = code[listed], np.bincount(record, minlength=len(few))
+        first, both = np.cumsum(size) - size, np.zeros(m * m, np.int64)
+        each = size[record]  # a word meets all of its record's
+        for x, y in _ranges(first[record], each, 4_000_000):
+            both += np.bincount(code[x] * m + code[y], minlength=m * m)
+        both = both.reshape(m, m)
+        own = np.diag(both)
+        given = np.repeat(bits[None], m + 1, axis=0)
+        known = np.flatnonzero(own >= LEAST)
+        given[known, :m] = np.minimum(bits[:m], parts(np.minimum(1, (both[known] + 0.5) / (own[known, None] + 1))))
+        return cls(words[top], bits, given)
+
+    def for_rows(self, rows: int) -> Orders:
+        self.need = max(1, int(_PART * np.log2(max(2, rows) / CROWD)))
+        return self
+
+    def keys(self, hs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the record, key) of all keys of all records, in order of the records."""
+        m = len(self.words)
+        code = np.full(len(hs), m, np.uint64)
+        if m:
+            at = np.minimum(np.searchsorted(self.words, hs), m - 1)
+            code = np.where(self.words[at] == hs, at, m).astype(np.uint64)
+        low = np.uint64((1 << _PLACE) - 1)
+        h, lens, who = (hs & ~low) | code, np.diff(np.r_[starts, len(hs)]), np.arange(len(starts))
+        sure, out, room = np.zeros(len(who)), [], np.empty_like(h)
+        gain = -np.log1p(-(T ** np.arange(1, MOST + 1)))
+        for b in range(_KEYS):
+            key, used = self._key(h, lens, b, low, room)
+            wants = sure < SURE
+            out.append((who[wants], key[wants]))
+            sure += gain[used - 1]
+            go = sure < SURE
+            if not go.any():
+                break
+            if go.mean() < 0.9:
+                h, lens, who, sure = h[np.repeat(go, lens)], lens[go], who[go], sure[go]
+        who, key = (np.concatenate(x) for x in zip(*out))
+        order = np.argsort(who, kind="stable")
+        return who[order], key[order]
+
+    def _key(self, h: np.ndarray, lens: np.ndarray, b: int, low: np.uint64, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, used = np.empty(len(lens), np.uint64), np.zeros(len(lens), np.int64)
+        who, starts = np.arange(len(lens)), np.cumsum(lens) - lens
+        acc, got, before = np.full(len(lens), b + 1, np.uint64), np.zeros(len(lens), np.int32), []
+        for r in range(MOST):
+            least = np.minimum.reduceat(np.multiply(h, _ORDER[b, r], out=room[: len(h)]), starts)
+            word = (least & low).astype(np.int64)
+            acc = (acc ^ (acc >> np.uint64(29))) * _FOLD[r] + least
+            bits = self.bits[word]
+            for w in before:
+                bits = np.minimum(bits, self.given[w, word])
+            open_ = got < self.need
+            got = got + bits
+            go = (got < self.need) & (r + 1 < MOST)
+            end = open_ & ~go
+            key[who[end]], used[who[end]] = acc[end], r + 1
+            left = np.count_nonzero(go)
+            if not left:
+                break
+            before.append(word)
+            if left < 0.6 * len(go):
+                h, lens, who, acc, got = h[np.repeat(go, lens)], lens[go], who[go], acc[go], got[go]
+                starts, before = np.cumsum(lens) - lens, [w[go] for w in before]
+        return (key ^ (key >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15), used
+
+
+def _ranges(first: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of every place i and its ``length[i]`` places from ``first[i]`` on, about ``most`` at a time."""
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(ends):
+        done = ends[a] - length[a]
+        b = max(a + 1, int(np.searchsorted(ends, done + most, side="right")))
+        part = length[a:b]
+        x = np.repeat(np.arange(a, b), part)
+        yield x, np.arange(len(x)) + np.repeat(first[a:b] - (ends[a:b] - part - done), part)
+        a = b
+
+
+def orders_of(sets: DataFrame) -> Shared:
+    """The :class:`Orders` of a written table of sets, from a sample drawn by hashes of the rows (one task, 4 MB at most)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, sizes, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for b in batches:
+            if held < SAMPLE_WORDS and b.num_rows:
+                hs, starts = lists_of(b, "hs")
+                n = np.diff(np.r_[starts, len(hs)])
+                n = n[: max(1, int(np.searchsorted(np.cumsum(n), SAMPLE_WORDS - held)))]
+                flat.append(hs[: n.sum()])
+                sizes.append(n)
+                held += int(n.sum())
+        if held:
+            o = Orders.learn(np.concatenate(flat), np.concatenate(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (o.words, o.bits, o.given)], names=["words", "bits", "given"])
+
+    total = sets.count()
+    found = _sample(sets, total, SAMPLE).select("row", "hs").repartition(1).sortWithinPartitions(F.xxhash64("row"), "row").mapInArrow(run, "words binary, bits binary, given binary").collect()
+    words, bits, given = found[0] if found else (b"", b"\0", b"\0")
+    bits = np.frombuffer(bits, np.uint8)
+    orders = Orders(np.frombuffer(words, np.uint64), bits, np.frombuffer(given, np.uint8).reshape(len(bits), -1))
+    return Shared(sets.sparkSession, orders.for_rows(total))
+
+
+def _sample(sets: DataFrame, total: int, rows: int) -> DataFrame:
+    return sets if total <= rows else sets.where(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) < F.lit((rows << 30) // total))
+
+
 def _slices(batches: Iterable[pa.RecordBatch], most: int = 2000) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
 
 
-def bands(sets: DataFrame, tag: str | None = None) -> DataFrame:
+def bands(sets: DataFrame, orders: Shared, tag: str | None = None) -> DataFrame:
     """(k, row, p0, p1[, tag]): every record under each of its keys, with its size in the key's low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            flat, starts = lists_of(part, "hs")
+            who, keys = orders.get().keys(*lists_of(part, "hs"))
             size = np.minimum(part.column(1).to_numpy(), _SIZE).astype(np.uint64)
-            keys = (band_keys(flat, starts) & ~np.uint64(_SIZE)) | size[:, None]
-            cols = [pa.array(np.repeat(part.column(i).to_numpy(), BANDS)) for i in (0, *range(3, part.num_columns))]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *cols], names=["k", "row", *TABLE, *([tag] if tag else [])])
+            keys = (keys & ~np.uint64(_SIZE)) | size[who]
+            cols = [pa.array(part.column(i).to_numpy()[who]) for i in (0, *range(3, part.num_columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *cols], names=["k", "row", *TABLE, *([tag] if tag else [])])
 
     cols = ["row", "n", "hs", *TABLE, *([tag] if tag else [])]
     return sets.select(*cols).mapInArrow(run, "k bigint, row bigint, p0 bigint, p1 bigint" + (f", {tag} bigint" if tag else ""))
@@ -185,24 +332,30 @@ def block_of(k: str = "k") -> Column:
     return F.shiftright(k, SIZE_BITS)
 
 
-def hot_blocks(sets: DataFrame) -> list[int]:
-    """Blocks that hold more than about one in ``SHARE`` rows; at most ``2 * SHARE * BANDS`` by construction.
+def hot_blocks(sets: DataFrame, orders: Shared | None = None) -> list[int]:
+    """Blocks that hold more than about one in ``SHARE`` rows; at most ``2 * SHARE * _KEYS`` by construction.
 
-    A key with such a share of all rows has it in some Arrow batch, so batches tell only their
-    own frequent keys and these few are added up.
+    Counted in a sample, since only the way of a block depends on it: a hot one that is not seen
+    here is met by the scan.  A key with such a share of all rows has it in some Arrow batch,
+    so batches tell only their own frequent keys and these few are added up.
     """
+    orders = orders or orders_of(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            flat, starts = lists_of(b, "hs")
-            h, c = np.unique((band_keys(flat, starts).view(np.int64) >> SIZE_BITS).ravel(), return_counts=True)
+            _, keys = orders.get().keys(*lists_of(b, "hs"))
+            h, c = np.unique(keys.view(np.int64) >> SIZE_BITS, return_counts=True)
             take = c > max(64, b.num_rows // SHARE)
             yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(c[take])], names=["h", "c"])
 
-    found = sets.select("hs").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    least = max(BLOCK, sets.count() // (2 * SHARE))
+    total = sets.count()
+    some = _sample(sets, total, HOT_SAMPLE).select("hs")
+    if total > HOT_SAMPLE:
+        some = some.repartition(5)
+    found = some.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    least = max(BLOCK, total // (2 * SHARE)) * min(1, HOT_SAMPLE / max(1, total))
     return [r["h"] for r in found.where(F.col("c") > least).select("h").collect()]
 
 
@@ -210,39 +363,48 @@ def _limit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.floor((x + y) * ((1 - T) / (1 + T)) + 1e-9)
 
 
-def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _marks(c: np.ndarray) -> np.ndarray:
+    """Four bits a group, as many set as the count has up to four: bits that differ are the distance of clamped counts."""
+    return np.packbits(np.concatenate([c > i for i in range(4)], axis=1), axis=1).view(np.uint64)
+
+
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, c: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Of pairs of places: those that sizes and pivots leave."""
     nx, ny = n[x], n[y]
-    at = np.flatnonzero((np.abs(nx - ny) <= _limit(nx, ny)) | (nx == _SIZE) | (ny == _SIZE))
-    x, y = x[at], y[at]
-    top = np.where((n[x] == _SIZE) | (n[y] == _SIZE), 1 << 30, _limit(n[x], n[y]))
+    top = np.where((nx == _SIZE) | (ny == _SIZE), 1 << 30, _limit(nx, ny))
+    at = np.flatnonzero((np.abs(nx - ny) <= top) & (np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int32) <= top))
+    x, y, top = x[at], y[at], top[at]
     return at[np.abs(c[x] - c[y]).sum(axis=1, dtype=np.int32) <= top]
 
 
-def _pairs(h: np.ndarray, n: np.ndarray, row: np.ndarray, c: np.ndarray, tag: np.ndarray | None, star: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(k: np.ndarray, row: np.ndarray, c: np.ndarray, tag: np.ndarray | None, star: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs left in whole blocks: all of a block (of different tags), or with ``star`` those with its least row."""
-    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-    start, length = edge[:-1], np.diff(edge)
-    for m in np.unique(length[length > 1]):
-        s = start[length == m]
-        if star:
-            block = s[:, None] + np.arange(m)
-            least = block[np.arange(len(s)), row[block].argmin(axis=1)]
-            x, y = np.repeat(least, m), block.ravel()
-            ok = x != y
+    h, n = k >> SIZE_BITS, k & _SIZE
+    marks = _marks(c)
+    if star:
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+        start, length = edge[:-1], np.diff(edge)
+        least = start + _first_least(row, start, length)
+        x, y = np.repeat(least, length), np.arange(len(row))
+        x, y = x[x != y], y[x != y]
+        at = _close(x, y, n, c, marks)
+        yield row[x[at]], row[y[at]]
+        return
+    # a block is in order of sizes: what follows a row up to the largest size that may be alike
+    size = np.minimum(_SIZE, np.floor(n / T + 1e-6).astype(np.int64) + 1)
+    place = np.arange(len(k)) + 1
+    for x, y in _ranges(place, np.searchsorted(k, (h << SIZE_BITS) | size, side="right") - place, 400_000):
+        if tag is not None:
+            ok = tag[x] != tag[y]
             x, y = x[ok], y[ok]
-            at = _close(x, y, n, c)
-            yield row[x[at]], row[y[at]]
-            continue
-        i, j = np.triu_indices(m, 1)
-        step = max(1, 400_000 // len(i))
-        for a in range(0, len(s), step):
-            x, y = ((s[a : a + step, None] + k).ravel() for k in (i, j))
-            if tag is not None:
-                ok = tag[x] != tag[y]
-                x, y = x[ok], y[ok]
-            at = _close(x, y, n, c)
-            yield row[x[at]], row[y[at]]
+        at = _close(x, y, n, c, marks)
+        yield row[x[at]], row[y[at]]
+
+
+def _first_least(row: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of every run: how far from its start its least row is."""
+    hit = np.flatnonzero(row == np.repeat(np.minimum.reduceat(row, start), length))
+    return hit[np.searchsorted(hit, start)] - start
 
 
 def _scan(tagged: bool, star: bool, block: int):
@@ -257,8 +419,7 @@ def _scan(tagged: bool, star: bool, block: int):
 
         def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             k, row, p0, p1 = cols[:4]
-            h, n = k >> SIZE_BITS, k & _SIZE
-            for a, b in _pairs(h, n, row, unpacked(np.stack([p0, p1], axis=1)), cols[4] if tagged else None, star):
+            for a, b in _pairs(k, row, unpacked(np.stack([p0, p1], axis=1)), cols[4] if tagged else None, star):
                 if len(a):
                     yield out(np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
 
@@ -304,11 +465,12 @@ def candidates(sets: DataFrame, tag: str | None = None, star: bool = False, bloc
     With ``tag`` (a bigint column) only pairs of different tags; with ``star`` only pairs of a
     row and the least row of their block.
     """
-    hot = hot_blocks(sets)
-    every = bands(sets, tag)
+    orders = orders_of(sets)
+    hot = hot_blocks(sets, orders)
+    every = bands(sets, orders, tag)
     cols = every.columns
     cold = every.join(F.broadcast(_frame(sets, hot)), block_of() == F.col("h"), "left_anti") if hot else every
-    parts = partitions_for(sets, sets.count() * BANDS)
+    parts = partitions_for(sets, sets.count() * _KEYS // 2)
     scanned = materialise(cold.repartition(parts, block_of()).sortWithinPartitions("k").mapInArrow(_scan(bool(tag), star, block), _OUT), "blocks")
     light = scanned.where("b >= 0").select("a", "b")
     over = scanned.where("b < 0").select("k", F.col("a").alias("row")).distinct()
