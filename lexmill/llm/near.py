@@ -19,7 +19,7 @@ and alike records are at most ``(1-T)/(1+T) (|x|+|y|)`` apart.
   So keys get longer as the table grows, and blocks don't; unusual words end a key at once.  Alike
   records draw the same words and so end their keys alike: a key of r words is shared with probability
   ``s**r``.  A record has keys until the chance that it shares none with one at similarity ``T``
-  is about ``exp(-SURE)``.  The keys are coarse on purpose; the tables discard nearly all
+  is about ``exp(-SURE)`` by its own words (measured in the README).  The keys are coarse on purpose; the tables discard nearly all
   they bring together (figures in the README).
 * **Verification**: the survivors' word hashes are intersected exactly.
 
